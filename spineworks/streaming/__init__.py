@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The analyses this library re-expresses load whole files and report over
+bounded tables; they have no stream input, watermark, or stateful operator,
+so nothing is built here.
+"""
