@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from spineworks.plans import revenue as R
 from spineworks.plans import subscriptions as S
 from spineworks.plans.tables import Tables
 
@@ -34,4 +35,21 @@ QUERIES: dict[str, Query] = {
     "new_per_month": lambda t, p: S.new_per_month(t.account, t.subscription, p),
     "starts_per_month": _sub(S.starts_per_month),
     "lifetime_value": _sub(S.lifetime_value),
+    # revenue metrics
+    "accrued_revenue": _sub(R.accrued_revenue),
+    "accrued_revenue_check": _sub(R.accrued_revenue_check),
+    "recurring_rows": lambda t, p: R.recurring_rows(t.subscription, t.account, p),
+    "recurring_revenue": _sub(R.recurring_revenue),
+    "recurring_check": _sub(R.recurring_check),
+    "recurring_rows_no_end_filter": _sub(R.recurring_rows_no_end_filter),
+    "membership_difference": _sub(R.membership_difference),
+    "subscription_lookup": lambda t, p: R.subscription_lookup(
+        t.subscription, R.membership_difference(t.subscription, p)),
+    "accrual_inclusive": _sub(R.accrual_inclusive),
+    "revenue_by_plan_long": lambda t, p: R.revenue_by_plan_long(t.subscription, t.account, p),
+    "revenue_by_plan_pivot": lambda t, p: R.revenue_by_plan_pivot(t.subscription, t.account, p),
+    "revenue_by_industry_long": lambda t, p: R.revenue_by_industry_long(
+        t.subscription, t.account, p),
+    "revenue_by_industry_pivot": lambda t, p: R.revenue_by_industry_pivot(
+        t.subscription, t.account, p),
 }
