@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
+from spineworks.plans import exploration as X
 from spineworks.plans import revenue as R
+from spineworks.plans import support as T
 from spineworks.plans import subscriptions as S
 from spineworks.plans.tables import Tables
 
@@ -53,3 +55,67 @@ QUERIES: dict[str, Query] = {
     "revenue_by_industry_pivot": lambda t, p: R.revenue_by_industry_pivot(
         t.subscription, t.account, p),
 }
+
+
+def _tic(fn, **kw):
+    return lambda t, p: fn(t.support_ticket, p, **kw)
+
+
+def _churn(fn):
+    return lambda t, p: fn(t.churn_event, p)
+
+
+def _acc(fn):
+    return lambda t, p: fn(t.account, p)
+
+
+QUERIES.update({
+    # support tickets
+    "resolution_stats": _tic(T.resolution_stats),
+    "count_escalation": _tic(T.count_escalation),
+    "first_response_range": _tic(T.first_response_range),
+    "avg_satisfaction": _tic(T.avg_satisfaction),
+    "count_satisfaction": _tic(T.count_satisfaction),
+    "submitted_range": _tic(T.submitted_range),
+    "escalation_at_max_resolution": _tic(T.escalation_at_max_resolution),
+    "tickets_at_max_response": _tic(T.tickets_at_max_response),
+    "tickets_per_month": _tic(T.tickets_per_month),
+    "ticket_satisfaction_per_month": _tic(T.ticket_satisfaction_per_month),
+    "tickets_in_range": _tic(T.tickets_in_range),
+    # consistency audit
+    "subs_without_churn_event": lambda t, p: X.subs_without_churn_event(
+        t.subscription, t.churn_event, p),
+    "unused_subs_by_tier": lambda t, p: X.unused_subs_by_tier(t.subscription, t.feature_usage, p),
+    "resolve_time_by_priority": _tic(X.resolve_time_by_priority),
+    "reason_feedback_matrix": _churn(X.reason_feedback_matrix),
+    # distributions
+    "share_industry": _acc(X.share_industry),
+    "share_country": _acc(X.share_country),
+    "share_referral": _acc(X.share_referral),
+    "share_feedback": _churn(X.share_feedback),
+    "reason_feedback_rows": _churn(X.reason_feedback_rows),
+    "refund_by_feedback": _churn(X.refund_by_feedback),
+    "refunded_reactivations": _churn(X.refunded_reactivations),
+    "share_plan_tier": _sub(X.share_plan_tier),
+    "share_trial": _sub(X.share_trial),
+    "trial_durations": _sub(X.trial_durations),
+    "count_billing_frequency": _sub(X.count_billing_frequency),
+    "count_priority_escalation": _tic(X.count_priority_escalation),
+    "subs_per_account": _sub(X.subs_per_account),
+    # keys and relations
+    "key_card_account": _acc(X.key_card_account),
+    "key_card_usage": lambda t, p: X.key_card_usage(t.feature_usage, p),
+    "key_card_ticket": _tic(X.key_card_ticket),
+    "key_card_churn": _churn(X.key_card_churn),
+    "key_card_subscription": _sub(X.key_card_subscription),
+    "account_subscriptions": _sub(X.account_subscriptions),
+    "churn_reactivation_map": lambda t, p: X.churn_reactivation_map(
+        t.churn_event, t.subscription, p),
+    "account_sub_attributes": lambda t, p: X.account_sub_attributes(
+        t.raw_account, t.subscription, p),
+    "days_to_start": lambda t, p: X.days_to_start(t.subscription, t.account, p),
+    "accounts_without_tickets": lambda t, p: X.accounts_without_tickets(
+        t.subscription, t.support_ticket, t.account, p),
+    "subs_without_usage": lambda t, p: X.subs_without_usage(t.subscription, t.feature_usage, p),
+    "account_lifetime": lambda t, p: X.account_lifetime(t.account, t.churn_event, p),
+})
