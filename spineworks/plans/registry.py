@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 
 from spineworks.plans import exploration as X
+from spineworks.plans import profiling as P
 from spineworks.plans import revenue as R
 from spineworks.plans import support as T
 from spineworks.plans import subscriptions as S
@@ -119,3 +120,13 @@ QUERIES.update({
     "subs_without_usage": lambda t, p: X.subs_without_usage(t.subscription, t.feature_usage, p),
     "account_lifetime": lambda t, p: X.account_lifetime(t.account, t.churn_event, p),
 })
+
+# load-time profiling and cleaning
+for _name in ("null_profile", "empty_profile", "whitespace_profile", "dup_rows_ignoring_id",
+              "dup_key_counts", "dup_row_listing", "dup_usage_id_rows", "dedupe_subscription",
+              "nunique_profile", "rekey_usage", "value_counts_profile", "flag_counts",
+              "top_accounts_by_subs", "top_accounts_by_seats", "top_sub_accounts_by_seats",
+              "top_accounts_by_churn", "top_account_subscriptions", "top_churn_account_events",
+              "table_shapes", "rule_violation_rows", "rule_violation_counts",
+              "churn_reconciliation", "churn_summary", "clean_subscription", "clean_usage"):
+    QUERIES[_name] = getattr(P, _name)
