@@ -12,32 +12,35 @@ from spineworks.functions import is_blank, percent_half_up
 from spineworks.session import ensure_checkpoint_dir
 
 
-def column_profile(df: DataFrame, table: str) -> DataFrame:
-    """Per column: nulls, empty strings, whitespace-only strings, and row count.
+_KINDS = ("null", "empty", "whitespace")
 
-    One scan and one global aggregate for all columns and all three checks;
-    the single result row is unpivoted to (table_name, column, ...). Non-text
-    columns are never empty or blank.
+
+def column_profile(df: DataFrame, table: str, kinds=_KINDS) -> DataFrame:
+    """Per column: nulls, empty strings and whitespace-only strings, plus the row count.
+
+    One scan and one global aggregate for all columns and all requested
+    checks; the single result row is unpivoted to (table_name, column, ...).
+    Non-text columns are never empty or blank.
     """
+    tests = {"null": lambda c: c.isNull(), "empty": lambda c: c == "",
+             "whitespace": lambda c: is_blank(c)}
     aggs = [F.count(F.lit(1)).alias("_rows")]
     for f in df.schema.fields:
-        c = F.col(f.name)
-        aggs.append(F.count(F.when(c.isNull(), 1)).alias(f"n__{f.name}"))
-        if isinstance(f.dataType, T.StringType):
-            aggs.append(F.count(F.when(c == "", 1)).alias(f"e__{f.name}"))
-            aggs.append(F.count(F.when(is_blank(c), 1)).alias(f"w__{f.name}"))
+        text = isinstance(f.dataType, T.StringType)
+        for k in kinds:
+            if k == "null" or text:
+                aggs.append(F.count(F.when(tests[k](F.col(f.name)), 1)).alias(f"{k}__{f.name}"))
     one = df.agg(*aggs)
     structs = []
     for i, f in enumerate(df.schema.fields):
         text = isinstance(f.dataType, T.StringType)
-        structs.append(F.struct(
-            F.lit(f.name).alias("column"), F.lit(i + 1).alias("position"),
-            F.col(f"n__{f.name}").alias("null_count"),
-            (F.col(f"e__{f.name}") if text else F.lit(0).cast("bigint")).alias("empty_count"),
-            (F.col(f"w__{f.name}") if text else F.lit(0).cast("bigint")).alias("whitespace_count")))
+        fields = [F.lit(f.name).alias("column"), F.lit(i + 1).alias("position")]
+        for k in kinds:
+            v = F.col(f"{k}__{f.name}") if (k == "null" or text) else F.lit(0).cast("bigint")
+            fields.append(v.alias(f"{k}_count"))
+        structs.append(F.struct(*fields))
     return one.select(F.col("_rows").alias("rows"), F.explode(F.array(*structs)).alias("p")).select(
-        F.lit(table).alias("table_name"), "p.column", "p.position", "p.null_count",
-        "p.empty_count", "p.whitespace_count", "rows")
+        F.lit(table).alias("table_name"), "p.*", "rows")
 
 
 def profile_report(tables: Mapping[str, DataFrame], kind: str) -> DataFrame:
@@ -46,7 +49,7 @@ def profile_report(tables: Mapping[str, DataFrame], kind: str) -> DataFrame:
     ``kind`` is ``null``, ``empty`` or ``whitespace``. Percentages are
     rounded half-up to 2 decimals on the exact ratio.
     """
-    parts = [column_profile(df, name) for name, df in tables.items()]
+    parts = [column_profile(df, name, (kind,)) for name, df in tables.items()]
     allp = parts[0]
     for p in parts[1:]:
         allp = allp.unionByName(p)
@@ -57,6 +60,25 @@ def profile_report(tables: Mapping[str, DataFrame], kind: str) -> DataFrame:
             .orderBy(F.asc("table_name"), F.desc(cnt)))
 
 
+def distinct_counts(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
+    """(table_name, column, nunique, rows): distinct values per column, null counted once.
+
+    One scan for all columns: rows are exploded into (column, value) pairs,
+    de-duplicated (map-side first, so a hot value is collapsed in every task),
+    then counted per column. Values are compared as text, which is exact
+    within one column's type.
+    """
+    pairs = F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+        for c in columns]))
+    rows = df.agg(F.count(F.lit(1)).alias("rows"))
+    distinct = (df.select(pairs.alias("p")).select("p.column", "p.value")
+                .groupBy("column", "value").agg(F.lit(1).alias("_one"))
+                .groupBy("column").agg(F.count(F.lit(1)).cast("bigint").alias("nunique")))
+    return distinct.crossJoin(F.broadcast(rows)).select(
+        F.lit(table).alias("table_name"), "column", "nunique", "rows")
+
+
 def duplicate_rows_count(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
     """Number of rows that repeat an earlier row on all columns but ``ignore``.
 

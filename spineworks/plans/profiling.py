@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spineworks.operators.quality import (
-    duplicate_key_count, duplicate_members, duplicate_rows_count, nunique, profile_report,
-    rule_violations, shape)
+    distinct_counts, duplicate_members, duplicate_rows_count, profile_report, rule_violations,
+    shape)
 from spineworks.operators.shares import top_k, value_counts_long
 from spineworks.plans.params import Params
 from spineworks.plans.tables import Tables
@@ -53,10 +53,14 @@ DUP_KEY_COLUMNS = (("subscription", "subscription_id"), ("subscription", "accoun
 
 
 def dup_key_counts(t: Tables, p: Params) -> DataFrame:
+    """Per key column: rows repeating an earlier row's value (rows minus distinct values)."""
     tabs = t.raw_tables()
-    return _union([duplicate_key_count(tabs[name], col).select(
-        F.lit(name).alias("table_name"), F.lit(col).alias("column"), "duplicates")
-        for name, col in DUP_KEY_COLUMNS])
+    by_table: dict[str, list[str]] = {}
+    for name, col in DUP_KEY_COLUMNS:
+        by_table.setdefault(name, []).append(col)
+    return _union([distinct_counts(tabs[name], name, cols).select(
+        "table_name", "column", (F.col("rows") - F.col("nunique")).alias("duplicates"))
+        for name, cols in by_table.items()])
 
 
 def dup_row_listing(t: Tables, p: Params) -> DataFrame:
@@ -103,14 +107,15 @@ def nunique_profile(t: Tables, p: Params) -> DataFrame:
     Re-keyed usage ids are consecutive, so their count is the usage row count.
     """
     tabs = _profiled(t, with_usage_ids=False)
-    parts = []
+    by_table: dict[str, list[str]] = {}
     for name, col in NUNIQUE_COLUMNS:
-        if name == "feature_usage" and col == "usage_id":
-            part = tabs[name].agg(F.count(F.lit(1)).cast("bigint").alias("nunique"))
-        else:
-            part = nunique(tabs[name], col)
-        parts.append(part.select(F.lit(name).alias("table_name"), F.lit(col).alias("column"),
-                                 "nunique"))
+        if not (name == "feature_usage" and col == "usage_id"):
+            by_table.setdefault(name, []).append(col)
+    parts = [distinct_counts(tabs[name], name, cols).select("table_name", "column", "nunique")
+             for name, cols in by_table.items()]
+    parts.append(tabs["feature_usage"].agg(F.count(F.lit(1)).cast("bigint").alias("nunique"))
+                 .select(F.lit("feature_usage").alias("table_name"),
+                         F.lit("usage_id").alias("column"), "nunique"))
     return _union(parts)
 
 
