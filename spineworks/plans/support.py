@@ -9,6 +9,7 @@ from spineworks.functions import avg_half_up, exact_avg, month_last_day, month_s
 from spineworks.operators.shares import group_counts
 from spineworks.operators.trend import diff_previous
 from spineworks.plans.params import Params
+from spineworks.sources.calendar import month_spine
 
 
 def resolution_stats(t: DataFrame, p: Params) -> DataFrame:
@@ -67,15 +68,21 @@ def _ticket_months(p: Params):
     return m, (m >= F.lit(p.ticket_calendar_start)) & (m <= F.lit(p.ticket_calendar_end))
 
 
-def tickets_per_month(t: DataFrame, p: Params) -> DataFrame:
+def tickets_per_month(t: DataFrame, p: Params, fill_gaps: bool = False) -> DataFrame:
     """Tickets per spine month (month of submission) and change vs previous month.
 
-    Months without tickets are absent, so the change spans the gap.
+    By default months without tickets are absent (the original inner join),
+    so the change spans the gap; ``fill_gaps`` reports them with 0 tickets.
     """
     m, in_cal = _ticket_months(p)
     per = (t.where(F.col("submitted_at") >= F.lit(p.ticket_window_start))
            .withColumn("month_date", m).where(in_cal)
            .groupBy("month_date").agg(F.count("month_date").alias("ticket")))
+    if fill_gaps:
+        spine = month_spine(t.sparkSession, p.ticket_calendar_start, p.ticket_calendar_end)
+        # Both sides hold at most one row per calendar month.
+        per = F.broadcast(spine).join(per, "month_date", "left").select(
+            "month_date", F.coalesce(F.col("ticket"), F.lit(0)).alias("ticket"))
     return per.select("month_date", "ticket", diff_previous("ticket").alias("diff"))
 
 

@@ -105,3 +105,19 @@ class Tables:
         return {"subscription": self.subscription, "account": self.account,
                 "feature_usage": self.feature_usage, "support_ticket": self.support_ticket,
                 "churn_event": self.churn_event}
+
+
+def register_views(tables: Tables, params=None) -> list[str]:
+    """Register the clean tables (and the month spine as ``cal``) as temp views.
+
+    Lets the original SQL statements run through ``spark.sql`` against the
+    same tables the reports read. Returns the view names.
+    """
+    from spineworks.plans.params import Params
+    from spineworks.sources.calendar import month_spine
+    p = params or Params()
+    views = dict(tables.clean_tables())
+    views["cal"] = month_spine(tables.spark, p.calendar_start, p.calendar_end)
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return sorted(views)

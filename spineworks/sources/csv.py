@@ -16,12 +16,15 @@ NA_TOKENS = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
-             na_tokens=NA_TOKENS, timestamp_format: str | None = None) -> DataFrame:
+             na_tokens=NA_TOKENS, timestamp_format: str | None = None,
+             on_error: str = "fail") -> DataFrame:
     """Read a headered CSV file with an explicit schema.
 
     Every column is first read as text so that missing-value tokens can be
-    mapped to null before the typed cast; the cast is ANSI-checked, so a
-    malformed date fails the job instead of silently becoming null.
+    mapped to null before the typed cast. With ``on_error="fail"`` the cast
+    is ANSI-checked, so a malformed date fails the job instead of silently
+    becoming null; ``on_error="null"`` turns unparsable values into nulls
+    (use ``quarantine`` to list the affected rows).
     """
     text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
     reader = spark.read.option("header", True).option("mode", "FAILFAST").schema(text_schema)
@@ -32,15 +35,33 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType,
         c = F.col(f.name)
         c = F.when(c.isin(tokens), F.lit(None)).otherwise(c)
         if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) and timestamp_format:
-            c = F.to_timestamp_ntz(c, F.lit(timestamp_format))
+            c = (F.to_timestamp_ntz(c, F.lit(timestamp_format)) if on_error == "fail"
+                 else F.try_to_timestamp(c, F.lit(timestamp_format)).cast(f.dataType))
         elif isinstance(f.dataType, T.BooleanType):
             c = F.when(F.lower(c).isin("true", "1"), True).when(
                 F.lower(c).isin("false", "0"), False).otherwise(
                 F.when(c.isNull(), None).otherwise(c.cast("boolean")))
-        c = c.cast(f.dataType) if not isinstance(f.dataType, T.StringType) else c
+        if not isinstance(f.dataType, T.StringType):
+            c = c.cast(f.dataType) if on_error == "fail" else c.try_cast(f.dataType)
         cols.append(c.alias(f.name))
     return raw.select(*cols)
 
 
+def quarantine(spark: SparkSession, path: str, schema: T.StructType,
+               na_tokens=NA_TOKENS) -> DataFrame:
+    """Rows of a CSV file holding a value that does not parse as its column's type."""
+    text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
+    raw = spark.read.option("header", True).schema(text_schema).csv(path)
+    tokens = list(na_tokens)
+    bad = None
+    for f in schema:
+        if isinstance(f.dataType, T.StringType):
+            continue
+        c = F.col(f.name)
+        broken = c.isNotNull() & ~c.isin(tokens) & c.try_cast(f.dataType).isNull()
+        bad = broken if bad is None else bad | broken
+    return raw if bad is None else raw.where(bad)
+
+
 def read_entity_csv(spark: SparkSession, name: str, path: str, **kw) -> DataFrame:
     return read_csv(spark, path, SCHEMAS[name], **kw)

@@ -43,3 +43,18 @@ def test_sink_overwrites(spark):
     write_table(spark.range(5), d)
     write_table(spark.range(3), d)
     assert spark.read.parquet(d).count() == 3
+
+
+def test_csv_bad_dates_fail_or_quarantine(spark):
+    import pytest
+    d = tempfile.mkdtemp(prefix="spineworks-csv-")
+    path = os.path.join(d, "bad.csv")
+    with open(path, "w") as f:
+        f.write("id,when\n1,2024-01-05\n2,not-a-date\n3,NA\n")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("when", T.DateType())])
+    with pytest.raises(Exception):
+        read_csv(spark, path, schema).collect()
+    got = sorted(tuple(r) for r in read_csv(spark, path, schema, on_error="null").collect())
+    assert got == [(1, D("2024-01-05")), (2, None), (3, None)]
+    from spineworks.sources.csv import quarantine
+    assert [r["id"] for r in quarantine(spark, path, schema).collect()] == ["2"]

@@ -100,3 +100,23 @@ def test_lifetime_value(spark):
                             sub_row(2, "2025-01-05", None, mrr="1.00")])
     got = dict(rows(S.lifetime_value(t.subscription, P24), "subscription_id", "lifetime_value"))
     assert got == {1: 15.0, 2: 6.0}
+
+
+def test_tickets_fill_gaps(spark):
+    mk = lambda i, m: (i, 1, dt.datetime(2024, m, 3), dt.datetime(2024, m, 9), "low", False,
+                       3.0, 1.0, 5)
+    t = make_tables(spark, tickets=[mk(1, 1), mk(2, 1), mk(3, 3)])
+    plain = rows(T.tickets_per_month(t.support_ticket, P24), "month_date", "ticket", "diff")
+    assert plain == [(D("2024-01-01"), 2, None), (D("2024-03-01"), 1, -1)]
+    filled = rows(T.tickets_per_month(t.support_ticket, P24, fill_gaps=True),
+                  "month_date", "ticket", "diff")
+    assert len(filled) == 12 and filled[1] == (D("2024-02-01"), 0, -2)
+
+
+def test_register_views_runs_original_sql(spark):
+    from spineworks.plans.tables import register_views
+    t = make_tables(spark, [sub_row(1, "2024-01-10", "2024-06-20"), sub_row(2, "2024-02-01")])
+    assert "cal" in register_views(t, P24)
+    got = spark.sql("""SELECT month_date, COUNT(*) AS n FROM subscription CROSS JOIN cal
+                       WHERE end_date BETWEEN month_date AND last_day(month_date) GROUP BY 1""").collect()
+    assert [(r[0], r[1]) for r in got] == [(D("2024-06-01"), 1)]
