@@ -43,12 +43,48 @@ def _timed(fn) -> float:
     return round(time.perf_counter() - t0, 3)
 
 
+def _shuffle_bytes(event_dir: str) -> dict[str, dict[str, int]]:
+    """Shuffle bytes written and rows read from the scan, per job group, from the event log."""
+    stage_group, out = {}, {}
+    files = [os.path.join(root, n) for root, _, names in os.walk(event_dir)
+             for n in sorted(names) if n.startswith("events_") or n.startswith("local-")]
+    for path in files:
+        with open(path, "rb") as raw:
+            data = raw.read()
+        if path.endswith(".zstd"):
+            import zstandard
+            data = zstandard.ZstdDecompressor().stream_reader(data).read()
+        if True:
+            for line in data.decode("utf-8", "replace").splitlines():
+                if not line.strip():
+                    continue
+                ev = json.loads(line)
+                kind = ev.get("Event")
+                if kind == "SparkListenerJobStart":
+                    group = (ev.get("Properties") or {}).get("spark.jobGroup.id")
+                    for sid in ev.get("Stage IDs", []):
+                        stage_group[sid] = group
+                elif kind == "SparkListenerTaskEnd":
+                    group = stage_group.get(ev.get("Stage ID"))
+                    if not group:
+                        continue
+                    m = ev.get("Task Metrics") or {}
+                    w = (m.get("Shuffle Write Metrics") or {})
+                    acc = out.setdefault(group, {"shuffle_bytes": 0, "shuffle_records": 0})
+                    acc["shuffle_bytes"] += int(w.get("Shuffle Bytes Written", 0))
+                    acc["shuffle_records"] += int(w.get("Shuffle Records Written", 0))
+    return out
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     from spineworks.session import build_session
+    event_dir = tempfile.mkdtemp(prefix="spineworks-events-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark = build_session(f"local[{cpus}]", app="spineworks-bench",
-                          shuffle_partitions=int(cpus), extra={"spark.driver.memory": "16g"})
+                          shuffle_partitions=int(cpus),
+                          extra={"spark.driver.memory": "16g", "spark.eventLog.enabled": "true",
+                                 "spark.eventLog.dir": f"file://{event_dir}"})
     from spineworks.plans import crossjoin
     from spineworks.plans.params import FIXTURE_PARAMS as P
     from spineworks.plans.pipeline import WarehouseTables, materialize
@@ -73,18 +109,25 @@ def main() -> None:
     pipeline = _timed(lambda: materialize(Tables(spark, sf_dir), warehouse))
     wt = WarehouseTables(spark, warehouse)
     times = {n: _timed(lambda n=n: _run(QUERIES[n](wt, P))) for n in names}
-    baseline = {
-        "active_end_month_included": {
-            "cross_join": _timed(lambda: _run(crossjoin.active_end_month_included(wt.subscription, P))),
-            "ours": _timed(lambda: _run(QUERIES["active_end_month_included"](wt, P)))},
-        "accrued_revenue": {
-            "cross_join": _timed(lambda: _run(crossjoin.accrued_revenue(wt.subscription, P))),
-            "ours": _timed(lambda: _run(QUERIES["accrued_revenue"](wt, P)))},
-        "revenue_by_plan_pivot": {
-            "cross_join": _timed(lambda: _run(crossjoin.revenue_by_plan_pivot(
-                wt.subscription, wt.account, P))),
-            "ours": _timed(lambda: _run(QUERIES["revenue_by_plan_pivot"](wt, P)))},
+    sc = spark.sparkContext
+    forms = {
+        "active_end_month_included": (
+            lambda: crossjoin.active_end_month_included(wt.subscription, P),
+            lambda: QUERIES["active_end_month_included"](wt, P)),
+        "accrued_revenue": (lambda: crossjoin.accrued_revenue(wt.subscription, P),
+                            lambda: QUERIES["accrued_revenue"](wt, P)),
+        "revenue_by_plan_pivot": (
+            lambda: crossjoin.revenue_by_plan_pivot(wt.subscription, wt.account, P),
+            lambda: QUERIES["revenue_by_plan_pivot"](wt, P)),
     }
+    baseline = {}
+    for name, (naive, ours) in forms.items():
+        entry = {}
+        for label, build in (("cross_join", naive), ("ours", ours)):
+            sc.setJobGroup(f"{name}/{label}", f"{name} {label}")
+            entry[label] = {"sec": _timed(lambda b=build: _run(b()))}
+        baseline[name] = entry
+    sc.setJobGroup("other", "other")
     out = {"metric": "pipeline_plus_headline_reports", "unit": "sec",
            "value": round(pipeline + sum(times.values()), 3), "queries": times,
            "pipeline_sec": pipeline, "baseline_cross_join": baseline,
@@ -92,6 +135,14 @@ def main() -> None:
     if os.environ.get("BENCH_END_TO_END") == "1":
         out["end_to_end"] = {n: _timed(lambda n=n: _run(QUERIES[n](Tables(spark, sf_dir), P)))
                              for n in names}
+    spark.stop()
+    try:
+        for group, metrics in _shuffle_bytes(event_dir).items():
+            name, _, label = group.partition("/")
+            if name in baseline and label in baseline[name]:
+                baseline[name][label].update(metrics)
+    except (OSError, ValueError):
+        pass
     print(json.dumps(out))
 
 

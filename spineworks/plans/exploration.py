@@ -69,7 +69,9 @@ def share_trial(sub: DataFrame, p: Params) -> DataFrame:
 
 
 def reason_feedback_rows(churn: DataFrame, p: Params) -> DataFrame:
-    return churn.select("reason_code", "feedback_text").orderBy(F.asc_nulls_last("feedback_text"))
+    # The event id breaks ties so range partitioning can split a common text.
+    return (churn.orderBy(F.asc_nulls_last("feedback_text"), "churn_event_id")
+            .select("reason_code", "feedback_text"))
 
 
 def refund_by_feedback(churn: DataFrame, p: Params) -> DataFrame:
@@ -99,7 +101,7 @@ def count_priority_escalation(t: DataFrame, p: Params) -> DataFrame:
 def subs_per_account(sub: DataFrame, p: Params) -> DataFrame:
     return (sub.groupBy(F.col("account_id").alias("acc"))
             .agg(F.count("subscription_id").alias("sub_count"))
-            .orderBy(F.desc("sub_count")))
+            .orderBy(F.desc("sub_count"), F.asc_nulls_last("acc")))
 
 
 # key cardinality -----------------------------------------------------------
@@ -141,11 +143,15 @@ def key_card_subscription(sub: DataFrame, p: Params) -> DataFrame:
 # relations -----------------------------------------------------------------
 
 def account_subscriptions(sub: DataFrame, p: Params, account_id=None) -> DataFrame:
-    """Subscriptions by account and start date (one account if ``account_id`` is given)."""
+    """Subscriptions by account and start date (one account if ``account_id`` is given).
+
+    The subscription id breaks ties in the sort, so range partitioning can
+    split even an account holding a large share of all subscriptions.
+    """
     rows = sub if account_id is None else sub.where(F.col("account_id") == F.lit(account_id))
     return rows.select("account_id", "subscription_id", "start_date", "is_trial", "plan_tier",
                        "upgrade_flag", "downgrade_flag", "churn_flag", "billing_frequency",
-                       "auto_renew_flag").orderBy("account_id", "start_date")
+                       "auto_renew_flag").orderBy("account_id", "start_date", "subscription_id")
 
 
 def churn_reactivation_map(churn: DataFrame, sub: DataFrame, p: Params) -> DataFrame:
@@ -200,9 +206,10 @@ def days_to_start(sub: DataFrame, account: DataFrame, p: Params) -> DataFrame:
     """Days from the account's signup to each subscription's start."""
     acc = account.select(F.col("account_id").alias("_acc"), "signup_date")
     j = sub.join(acc, sub.account_id == acc._acc, "left")
-    return j.select(F.col("subscription_id").alias("acc"),
-                    days_between(F.col("start_date"), F.col("signup_date"))
-                    .alias("days_to_start_since_regist")).orderBy("days_to_start_since_regist")
+    return (j.select(F.col("subscription_id").alias("acc"),
+                     days_between(F.col("start_date"), F.col("signup_date"))
+                     .alias("days_to_start_since_regist"))
+            .orderBy(F.asc_nulls_last("days_to_start_since_regist"), "acc"))
 
 
 def accounts_without_tickets(sub: DataFrame, tickets: DataFrame, account: DataFrame,
@@ -223,6 +230,6 @@ def account_lifetime(account: DataFrame, churn: DataFrame, p: Params) -> DataFra
     """Days from signup to each churn event, longest first."""
     acc = account.select(F.col("account_id").alias("_acc"), "signup_date")
     j = acc.join(churn, acc._acc == churn.account_id)
-    return j.select("signup_date", "churn_date",
-                    days_between(F.col("churn_date"), F.col("signup_date")).alias("active_dur")
-                    ).orderBy(F.desc_nulls_first("active_dur"))
+    dur = days_between(F.col("churn_date"), F.col("signup_date"))
+    return (j.orderBy(F.desc_nulls_first(dur), "churn_event_id")
+            .select("signup_date", "churn_date", dur.alias("active_dur")))

@@ -67,12 +67,13 @@ def dup_row_listing(t: Tables, p: Params) -> DataFrame:
     """Every subscription row that has an exact copy under another id."""
     sub = t.raw_subscription
     cols = [c for c in sub.columns if c != "subscription_id"]
-    return duplicate_members(sub, cols).orderBy("account_id")
+    return duplicate_members(sub, cols).orderBy("account_id", "subscription_id")
 
 
 def dup_usage_id_rows(t: Tables, p: Params) -> DataFrame:
     """Every usage row whose (source) usage id is shared with another row."""
-    return duplicate_members(t.raw_usage, ["usage_id"]).orderBy("usage_id", "usage_date")
+    return duplicate_members(t.raw_usage, ["usage_id"]).orderBy(
+        "usage_id", "usage_date", "subscription_id", "feature_name")
 
 
 def dedupe_subscription(t: Tables, p: Params) -> DataFrame:
@@ -166,7 +167,7 @@ def _rows_of_top(df: DataFrame, top: DataFrame) -> DataFrame:
 def top_account_subscriptions(t: Tables, p: Params) -> DataFrame:
     """Drill-down: every subscription of the account with the most subscriptions."""
     top = top_k(t.dedup_subscription, "account_id", F.count("subscription_id"), "n", 1)
-    return _rows_of_top(t.dedup_subscription, top).orderBy("start_date")
+    return _rows_of_top(t.dedup_subscription, top).orderBy("start_date", "subscription_id")
 
 
 def top_churn_account_events(t: Tables, p: Params) -> DataFrame:
@@ -258,7 +259,7 @@ def churn_summary(t: Tables, p: Params) -> DataFrame:
     return (subs.join(_churn_counts(t), "account_id", "full_outer")
             .select("account_id", "total_subscriptions", "churned_subscriptions",
                     "churn_event_count")
-            .orderBy(F.desc_nulls_last("churned_subscriptions")))
+            .orderBy(F.desc_nulls_last("churned_subscriptions"), F.asc_nulls_last("account_id")))
 
 
 def clean_subscription(t: Tables, p: Params) -> DataFrame:

@@ -100,21 +100,22 @@ def recurring_rows(sub: DataFrame, account: DataFrame, p: Params) -> DataFrame:
 def _revenue_by(sub: DataFrame, account: DataFrame, p: Params, by: str, out: str) -> DataFrame:
     """Member MRR per (month, ``by``), subscriptions inner-joined to accounts.
 
-    Rows are first reduced per (account, plan tier, start month, end month)
-    -- a hot account collapses to a handful of rows -- and only then joined
-    to the accounts, so the join carries no skew; the join keeps the inner
-    join's multiplicity. The result is spread over the spine.
+    The member rows are narrowed to (account, tier, start month, end month,
+    MRR) and joined to the accounts first: AQE broadcasts the account side
+    when its measured size allows, else it sort-merge joins and splits a hot
+    account's partition. The join output is reduced map-side per (``by``,
+    start month, end month) -- a tiny key space -- before the only other
+    shuffle, and just that result is expanded over the spine.
     """
     lo, hi = _recurring_range(p)
     lo_c, hi_c = clip_range(lo, hi, p.calendar_start, p.calendar_end)
-    pre = (_recurring_members(sub, p).where(F.col("start_date").isNotNull())
-           .select("account_id", "plan_tier", lo_c.alias("_lo"), hi_c.alias("_hi"), "mrr_amount")
-           .where(F.col("_lo") <= F.col("_hi"))
-           .groupBy("account_id", "plan_tier", "_lo", "_hi")
-           .agg(F.sum("mrr_amount").alias("mrr")))
+    members = (_recurring_members(sub, p).where(F.col("start_date").isNotNull())
+               .select("account_id", "plan_tier", lo_c.alias("_lo"), hi_c.alias("_hi"),
+                       "mrr_amount")
+               .where(F.col("_lo") <= F.col("_hi")))
     acc = account.select(F.col("account_id").alias("_acc"), "industry")
-    joined = pre.join(acc, pre.account_id == acc._acc)
-    grouped = joined.groupBy(by, "_lo", "_hi").agg(F.sum("mrr").alias("mrr"))
+    joined = members.join(acc, members.account_id == acc._acc)
+    grouped = joined.groupBy(by, "_lo", "_hi").agg(F.sum("mrr_amount").alias("mrr"))
     return (expand_months(grouped, "_lo", "_hi").groupBy("month_date", by)
             .agg(F.sum("mrr").cast("double").alias(out)))
 
