@@ -15,8 +15,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 
 from spineworks.operators.quality import drop_where
-from spineworks.plans.tables import Tables, subscription_outlier, usage_outlier
-from spineworks.sources.schemas import ACCOUNT_SUBSCRIPTION_COLUMNS
+from spineworks.plans.tables import Tables, usage_outlier
 from spineworks.sources.sink import write_table
 
 RAW_TABLES = {"raw_subscription": "subscription", "raw_account": "account",
@@ -25,11 +24,12 @@ RAW_TABLES = {"raw_subscription": "subscription", "raw_account": "account",
 
 
 def materialize(tables: Tables, target: str) -> None:
-    """Write every stage table under ``target`` (overwriting).
+    """Write the stage tables that cost shuffles under ``target`` (overwriting).
 
-    Each stage is computed from the previous stage's written files, so no
-    cleaning shuffle runs twice: raw tables -> de-duplicated and re-keyed
-    -> outliers removed.
+    Written: the five raw tables, the de-duplicated subscriptions and the
+    re-keyed usage rows. Each is computed from the previous stage's written
+    files, so no cleaning shuffle runs twice. The remaining stages are
+    row filters or column drops of these and are derived on read.
     """
     spark = tables.spark
     for out, _ in RAW_TABLES.items():
@@ -39,62 +39,31 @@ def materialize(tables: Tables, target: str) -> None:
         for out, name in RAW_TABLES.items()})
     write_table(raw.dedup_subscription, f"{target}/dedup_subscription")
     write_table(raw.rekeyed_usage(), f"{target}/rekeyed_usage")
-    dedup = spark.read.parquet(f"{target}/dedup_subscription")
-    write_table(drop_where(dedup, subscription_outlier(dedup)), f"{target}/subscription")
-    usage = raw.raw_usage
-    write_table(drop_where(usage, usage_outlier(usage)), f"{target}/feature_usage")
-    rekeyed = spark.read.parquet(f"{target}/rekeyed_usage")
-    write_table(drop_where(rekeyed, usage_outlier(rekeyed)), f"{target}/clean_usage")
-    write_table(raw.raw_account.drop(*ACCOUNT_SUBSCRIPTION_COLUMNS), f"{target}/account")
 
 
 class WarehouseTables(Tables):
     """Stage tables read back from a folder written by ``materialize``."""
 
     def __init__(self, spark: SparkSession, target: str):
-        super().__init__(spark, target, loaders={})
+        super().__init__(spark, target, loaders={
+            name: (lambda s, src, o=out: s.read.parquet(f"{src}/{o}"))
+            for out, name in RAW_TABLES.items()})
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.source}/{name}")
 
-    @cached_property
-    def raw_subscription(self) -> DataFrame:
-        return self._read("raw_subscription")
-
-    @cached_property
-    def raw_account(self) -> DataFrame:
-        return self._read("raw_account")
-
-    @cached_property
-    def raw_usage(self) -> DataFrame:
-        return self._read("raw_usage")
-
-    @cached_property
-    def support_ticket(self) -> DataFrame:
-        return self._read("support_ticket")
-
-    @cached_property
-    def churn_event(self) -> DataFrame:
-        return self._read("churn_event")
-
     @cached_property
     def dedup_subscription(self) -> DataFrame:
         return self._read("dedup_subscription")
 
-    @cached_property
-    def subscription(self) -> DataFrame:
-        return self._read("subscription")
+    def rekeyed_usage(self) -> DataFrame:
+        return self._read("rekeyed_usage")
 
     @cached_property
     def feature_usage(self) -> DataFrame:
-        return self._read("feature_usage")
-
-    @cached_property
-    def account(self) -> DataFrame:
-        return self._read("account")
-
-    def rekeyed_usage(self) -> DataFrame:
-        return self._read("rekeyed_usage")
+        # Same rows as the clean usage table; key-level queries ignore usage_id.
+        return self.clean_usage()
 
     def clean_usage(self) -> DataFrame:
-        return self._read("clean_usage")
+        u = self.rekeyed_usage()
+        return drop_where(u, usage_outlier(u))
