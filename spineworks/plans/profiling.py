@@ -211,7 +211,7 @@ def _rules(t: Tables):
             ("support_ticket", tabs["support_ticket"], "ticket_id", ticket)]
 
 
-def rule_violation_rows(t: Tables, p: Params) -> DataFrame:
+def rule_violations_report(t: Tables, p: Params) -> DataFrame:
     """(table, rule, record id) for every row breaking an audit rule; one scan per table.
 
     Usage rows are identified by their source usage id here.
@@ -220,7 +220,7 @@ def rule_violation_rows(t: Tables, p: Params) -> DataFrame:
 
 
 def rule_violation_counts(t: Tables, p: Params) -> DataFrame:
-    return rule_violation_rows(t, p).groupBy("table_name", "rule").agg(
+    return rule_violations_report(t, p).groupBy("table_name", "rule").agg(
         F.count(F.lit(1)).alias("violations"))
 
 

@@ -127,6 +127,7 @@ for _name in ("null_profile", "empty_profile", "whitespace_profile", "dup_rows_i
               "nunique_profile", "rekey_usage", "value_counts_profile", "flag_counts",
               "top_accounts_by_subs", "top_accounts_by_seats", "top_sub_accounts_by_seats",
               "top_accounts_by_churn", "top_account_subscriptions", "top_churn_account_events",
-              "table_shapes", "rule_violation_rows", "rule_violation_counts",
+              "table_shapes", "rule_violation_counts",
               "churn_reconciliation", "churn_summary", "clean_subscription", "clean_usage"):
     QUERIES[_name] = getattr(P, _name)
+QUERIES["rule_violations"] = P.rule_violations_report
