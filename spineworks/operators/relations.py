@@ -19,11 +19,20 @@ def not_in(left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataF
     (right row count and null count) that is a single row and therefore
     always safe to broadcast.
     """
-    rk = F.col(right_key)
-    stats = right.agg(F.count(F.lit(1)).alias("_n"),
-                      F.count(F.when(rk.isNull(), 1)).alias("_nulls"))
-    keys = right.where(rk.isNotNull()).select(rk.alias("_rk")).distinct()
-    survivors = left.join(keys, F.col(key) == F.col("_rk"), "left_anti")
+    grouped = (right.groupBy(F.col(right_key).alias("_rk"))
+               .agg(F.count(F.lit(1)).alias("_c")))
+    # Both derived frames read the same grouped result; Spark reuses its
+    # exchange, so the right side is scanned and shuffled once.
+    stats = grouped.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_n"),
+                        F.coalesce(F.sum(F.when(F.col("_rk").isNull(), F.col("_c"))), F.lit(0))
+                        .alias("_nulls"))
+    # The anti join compares null-safely: no not-null filter is inferred
+    # into the right scan, so both branches stay identical below the
+    # exchange. Rows it lets through that NOT IN rejects (a null left key)
+    # are removed by the final condition, and any null on the right empties
+    # the result there anyway.
+    keys = grouped.where(F.col("_c") > 0).select("_rk")
+    survivors = left.join(keys, F.col(key).eqNullSafe(F.col("_rk")), "left_anti")
     return (survivors.crossJoin(F.broadcast(stats))
             .where((F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(key).isNotNull()))
             .drop("_n", "_nulls"))
