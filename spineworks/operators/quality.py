@@ -71,11 +71,13 @@ def distinct_counts(df: DataFrame, table: str, columns: Sequence[str]) -> DataFr
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
         for c in columns]))
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    distinct = (df.select(pairs.alias("p")).select("p.column", "p.value")
-                .groupBy("column", "value").agg(F.lit(1).alias("_one"))
-                .groupBy("column").agg(F.count(F.lit(1)).cast("bigint").alias("nunique")))
-    return distinct.crossJoin(F.broadcast(rows)).select(
+    counted = (df.select(pairs.alias("p")).select("p.column", "p.value")
+               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n")))
+    # Every row contributes one pair per column, so a column's pair counts
+    # add up to the row count: one scan yields both numbers.
+    return counted.groupBy("column").agg(
+        F.count(F.lit(1)).cast("bigint").alias("nunique"),
+        F.sum("_n").cast("bigint").alias("rows")).select(
         F.lit(table).alias("table_name"), "column", "nunique", "rows")
 
 

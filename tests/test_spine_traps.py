@@ -120,3 +120,53 @@ def test_register_views_runs_original_sql(spark):
     got = spark.sql("""SELECT month_date, COUNT(*) AS n FROM subscription CROSS JOIN cal
                        WHERE end_date BETWEEN month_date AND last_day(month_date) GROUP BY 1""").collect()
     assert [(r[0], r[1]) for r in got] == [(D("2024-06-01"), 1)]
+
+
+def test_first_partial_month_adds_seats_not_revenue(spark):
+    # T15: whole months from a mid-month start are 0 in its first full month.
+    t = make_tables(spark, [sub_row(1, "2024-01-15", None, mrr="10.00", seats=3)])
+    got = {r["month_date"]: (r["revenue_accrued"], r["seats"])
+           for r in R.accrued_revenue(t.subscription, P24).collect()}
+    assert got[D("2024-01-01")] == (0.0, 3)
+    assert got[D("2024-02-01")] == (0.0, 3)   # 2024-01-15 -> 2024-02-01 is 0 whole months
+    assert got[D("2024-03-01")] == (10.0, 3)
+
+
+def test_share_counts_column_keeps_null_group_at_zero(spark):
+    # T12: COUNT(industry) gives the null group 0; COUNT(*) would count it.
+    from spineworks.plans import exploration as X
+    acc = [(i, f"a{i}", ind, "X", "web", D("2023-01-01"), "Basic", 1, False, False)
+           for i, ind in enumerate(["FinTech", "FinTech", None, "EdTech"])]
+    t = make_tables(spark, accounts=acc)
+    got = {r["industry"]: (r["amt"], r["total"], r["amt_perc"])
+           for r in X.share_industry(t.account, P24).collect()}
+    assert got == {"FinTech": (2, 3, 66.67), "EdTech": (1, 3, 33.33), None: (0, 3, 0.0)}
+
+
+def test_recurring_filter_uses_raw_end_date(spark):
+    # T3: the membership filter sees the stored end date, the month bound the
+    # horizon-filled one; an open subscription counts to the horizon only.
+    t = make_tables(spark, [sub_row(1, "2023-06-01", None, mrr="5.00")])
+    p = P24.with_(open_end_horizon=D("2024-03-31"))
+    months = _months(R.recurring_revenue(t.subscription, p))
+    assert months == [D("2024-01-01"), D("2024-02-01"), D("2024-03-01")]
+
+
+def test_hot_account_results_match_plain_joins(spark):
+    # One account holds most subscriptions: the skew-safe join forms must
+    # still give exactly the plain join results.
+    from spineworks.plans import exploration as X
+    subs = [sub_row(i, f"2024-{1 + i % 12:02d}-{1 + i % 27:02d}", None, acc=1 if i % 3 else 2,
+                    mrr=f"{i}.00")
+            for i in range(300)]
+    acc = [(a, f"a{a}", "FinTech", "X", "web", D("2023-01-01"), "Basic", 1, False, False)
+           for a in (1, 2, 3)]
+    churn = [(10, 1, D("2024-02-01"), "p", None, 0.0, True),
+             (11, 1, D("2024-02-01"), "p", None, 0.0, False),
+             (12, 3, D("2024-02-01"), "p", None, 0.0, False)]
+    t = make_tables(spark, subs, accounts=acc, churn=churn)
+    m = X.churn_reactivation_map(t.churn_event, t.subscription, P24)
+    assert m.where("subscription_id IS NOT NULL").count() == 200
+    assert m.where("subscription_id IS NULL").count() == 1
+    attrs = X.account_sub_attributes(t.raw_account, t.subscription, P24)
+    assert attrs.count() == 301   # 300 subscriptions + account 3 without any
