@@ -26,20 +26,22 @@ REFERENCE_INDUSTRY_LABELS = ("Fintech", "EdTech", "Cybersecurity", "HealthTech",
 
 @dataclass(frozen=True)
 class Params:
+    """Report parameters; the defaults are the original analysis's values (fixed values)."""
+
     # Month spine for subscription and revenue metrics (both ends inclusive).
-    calendar_start: dt.date = _d("1997-01-01")
-    calendar_end: dt.date = _d("1997-12-01")
+    calendar_start: dt.date = _d("2024-01-01")
+    calendar_end: dt.date = _d("2024-12-01")
     # Open-ended subscriptions are treated as ending on this date by the
     # active-subscription and recurring-revenue rules.
-    open_end_horizon: dt.date = _d("1997-12-31")
+    open_end_horizon: dt.date = _d("2024-12-31")
     # Horizon used by the accrued-revenue rule.
-    accrual_horizon: dt.date = _d("1998-12-31")
+    accrual_horizon: dt.date = _d("2025-12-31")
     # Horizon (a month start) used by the lifetime-value rule.
-    lifetime_horizon: dt.date = _d("2002-07-01")
+    lifetime_horizon: dt.date = _d("2025-07-01")
     # Date used by the "ended by" count (subscriptions ended on or before it).
-    ended_by: dt.date = _d("1997-12-01")
+    ended_by: dt.date = _d("2024-12-01")
     # Month used by the "ended in month" listings.
-    ended_month: dt.date = _d("1997-02-01")
+    ended_month: dt.date = _d("2024-02-01")
     # Month spine for support-ticket metrics.
     ticket_calendar_start: dt.date = _d("2024-01-01")
     ticket_calendar_end: dt.date = _d("2024-12-01")
@@ -83,4 +85,11 @@ def _last_day(d: dt.date) -> dt.date:
 # used as the industry pivot domain for them.
 FIXTURE_INDUSTRIES = ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY")
 
-FIXTURE_PARAMS = Params(industries=FIXTURE_INDUSTRIES, industry_labels=FIXTURE_INDUSTRIES)
+# The fixture subscriptions start between 1995 and 2001, so their reports use
+# a 1997 calendar with horizons shifted by the same 27 years; tickets keep
+# the 2024 calendar (the fixture events are from January 2024).
+FIXTURE_PARAMS = Params(
+    calendar_start=_d("1997-01-01"), calendar_end=_d("1997-12-01"),
+    open_end_horizon=_d("1997-12-31"), accrual_horizon=_d("1998-12-31"),
+    lifetime_horizon=_d("2002-07-01"), ended_by=_d("1997-12-01"), ended_month=_d("1997-02-01"),
+    industries=FIXTURE_INDUSTRIES, industry_labels=FIXTURE_INDUSTRIES)

@@ -65,3 +65,14 @@ def quarantine(spark: SparkSession, path: str, schema: T.StructType,
 
 def read_entity_csv(spark: SparkSession, name: str, path: str, **kw) -> DataFrame:
     return read_csv(spark, path, SCHEMAS[name], **kw)
+
+
+def csv_loaders(paths: dict[str, str], **kw) -> dict:
+    """Table loaders for ``Tables`` reading the five entity CSV files.
+
+    ``paths`` maps table name (subscription, account, feature_usage,
+    support_ticket, churn_event) to a file or folder; every file is read
+    with its fixed schema and the missing-value tokens.
+    """
+    return {name: (lambda spark, _src, p=path, n=name: read_entity_csv(spark, n, p, **kw))
+            for name, path in paths.items()}

@@ -58,3 +58,38 @@ def test_csv_bad_dates_fail_or_quarantine(spark):
     assert got == [(1, D("2024-01-05")), (2, None), (3, None)]
     from spineworks.sources.csv import quarantine
     assert [r["id"] for r in quarantine(spark, path, schema).collect()] == ["2"]
+
+
+def test_csv_loaders_feed_tables(spark):
+    from spineworks.plans.tables import Tables
+    from spineworks.plans import subscriptions as S
+    from spineworks.plans.params import Params
+    from spineworks.sources.csv import csv_loaders
+    d = tempfile.mkdtemp(prefix="spineworks-csv-")
+    files = {
+        "subscription": "subscription_id,account_id,start_date,end_date,plan_tier,seats,mrr_amount,"
+                        "arr_amount,is_trial,upgrade_flag,downgrade_flag,churn_flag,billing_frequency,"
+                        "auto_renew_flag\nS-1,A-1,2024-01-10,2024-03-05,Pro,3,10.5,126,False,False,False,"
+                        "True,monthly,True\nS-2,A-1,2024-02-01,,Basic,1,0,0,True,False,False,False,"
+                        "monthly,False\n",
+        "account": "account_id,account_name,industry,country,signup_date,referral_source,plan_tier,"
+                   "seats,is_trial,churn_flag\nA-1,Acme,FinTech,US,2023-12-01,ads,Pro,3,False,False\n",
+        "feature_usage": "usage_id,subscription_id,usage_date,feature_name,usage_count,"
+                         "usage_duration_secs,error_count\nU-1,S-1,2024-01-12,f1,3,40,1\n",
+        "support_ticket": "ticket_id,account_id,submitted_at,closed_at,resolution_time_hours,"
+                          "first_response_time_minutes,priority,escalation_flag,satisfaction_score\n"
+                          "T-1,A-1,2024-01-05 10:00:00,2024-01-06 10:00:00,24,30,high,False,NA\n",
+        "churn_event": "churn_event_id,account_id,churn_date,reason_code,refund_amount_usd,"
+                       "feedback_text,is_reactivation\nC-1,A-1,2024-03-05,pricing,0,,False\n",
+    }
+    paths = {}
+    for name, text in files.items():
+        paths[name] = os.path.join(d, f"{name}.csv")
+        with open(paths[name], "w") as f:
+            f.write(text)
+    t = Tables(spark, d, loaders=csv_loaders(paths))
+    got = {r["month_date"]: r["active_subscriptions"]
+           for r in S.active_end_month_included(t.subscription, Params()).collect()}
+    assert got[D("2024-01-01")] == 1 and got[D("2024-02-01")] == 2 and got[D("2024-03-01")] == 2
+    assert t.support_ticket.first()["satisfaction_score"] is None
+    assert t.churn_event.first()["feedback_text"] is None
