@@ -15,23 +15,22 @@ def not_in(left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataF
     key too); otherwise a null left key, or any null on the right, makes the
     predicate unknown and the row is dropped. The built-in null-aware plan
     broadcasts the whole right side; this form shuffles instead: a left-anti
-    join against the distinct non-null right keys, plus one global row
-    (right row count and null count) that is a single row and therefore
-    always safe to broadcast.
+    join against the distinct right keys, plus one global row (number of
+    distinct keys, whether a null is among them) that is a single row and
+    therefore always safe to broadcast.
     """
-    grouped = (right.groupBy(F.col(right_key).alias("_rk"))
-               .agg(F.count(F.lit(1)).alias("_c")))
-    # Both derived frames read the same grouped result; Spark reuses its
-    # exchange, so the right side is scanned and shuffled once.
-    stats = grouped.agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_n"),
-                        F.coalesce(F.sum(F.when(F.col("_rk").isNull(), F.col("_c"))), F.lit(0))
-                        .alias("_nulls"))
-    # The anti join compares null-safely: no not-null filter is inferred
-    # into the right scan, so both branches stay identical below the
-    # exchange. Rows it lets through that NOT IN rejects (a null left key)
-    # are removed by the final condition, and any null on the right empties
-    # the result there anyway.
-    keys = grouped.where(F.col("_c") > 0).select("_rk")
+    # The distinct right keys (null kept as a key) answer everything NOT IN
+    # needs: "is the right side empty" and "does it hold a null" are one
+    # global row over them. Both uses read the same aggregate, so Spark
+    # reuses its exchange: the right side is scanned and shuffled once, and
+    # only distinct keys cross the shuffle.
+    keys = right.select(F.col(right_key).alias("_rk")).distinct()
+    stats = keys.agg(F.count(F.lit(1)).alias("_n"),
+                     F.count(F.when(F.col("_rk").isNull(), 1)).alias("_nulls"))
+    # The anti join compares null-safely, so no not-null filter is inferred
+    # into the right scan (which would make the two uses differ). Rows it
+    # lets through that NOT IN rejects (a null left key) are removed by the
+    # final condition, and any null on the right empties the result there.
     survivors = left.join(keys, F.col(key).eqNullSafe(F.col("_rk")), "left_anti")
     return (survivors.crossJoin(F.broadcast(stats))
             .where((F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(key).isNotNull()))
