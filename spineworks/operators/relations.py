@@ -46,8 +46,12 @@ def in_except(left: DataFrame, key: str, include: DataFrame, include_key: str,
     key sets are deduplicated (map-side) before the joins, so a hot key on
     the left meets exactly one row on the right.
     """
-    inc = include.select(F.col(include_key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     exc = exclude.select(F.col(exclude_key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
+    if include is left and include_key == key:
+        # Every non-null key of the left side is in its own key set, so only
+        # the exclusion remains: one scan of the left side, one anti join.
+        return left.where(F.col(key).isNotNull()).join(exc, F.col(key) == F.col("_k"), "left_anti")
+    inc = include.select(F.col(include_key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     keys = inc.join(exc, "_k", "left_anti")
     return left.join(keys, F.col(key) == F.col("_k"), "left_semi")
 

@@ -57,3 +57,14 @@ def test_dedupe_and_profiles_use_no_window(spark):
     for name in ("dedupe_subscription", "dup_row_listing", "null_profile", "dup_key_counts"):
         plan = _plan(spark, name)
         assert "Window" not in plan, name
+
+
+def test_not_in_scans_the_right_side_once(spark):
+    from spineworks.operators.relations import not_in
+    left = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey")
+    right = spark.read.parquet(f"{SF}/lineitem.parquet").select("l_orderkey")
+    df = not_in(left, "o_orderkey", right, "l_orderkey")
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in plan
+    assert plan.count("lineitem.parquet") == 1

@@ -76,3 +76,9 @@ def test_churn_reactivation_map_one_sided_rows_get_null_subscription(spark):
     got = rows(X.churn_reactivation_map(t.churn_event, t.subscription, Params()),
                "reactivated_account_id", "churned_account_id", "subscription_id")
     assert sorted(got, key=str) == sorted([(1, 1, 1), (1, 1, 2), (None, 2, None)], key=str)
+
+
+def test_in_except_same_table_shortcut(spark):
+    left = _df(spark, [1, 1, 2, 3, None])
+    out = in_except(left, "k", left, "k", _df(spark, [2], "b"), "b")
+    assert rows(out, "k") == [(1,), (1,), (3,)]
