@@ -1,4 +1,4 @@
-from helpers import D, make_tables, rows
+from helpers import rows
 
 from spineworks.operators.quality import (
     column_profile, dedupe_keep_min, duplicate_members, duplicate_rows_count, rule_violations,
