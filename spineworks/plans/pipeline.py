@@ -22,32 +22,54 @@ RAW_TABLES = {"raw_subscription": "subscription", "raw_account": "account",
               "raw_usage": "feature_usage", "support_ticket": "support_ticket",
               "churn_event": "churn_event"}
 
-
-def materialize(tables: Tables, target: str) -> None:
-    """Write the stage tables that cost shuffles under ``target`` (overwriting).
-
-    Written: the five raw tables, the de-duplicated subscriptions and the
-    re-keyed usage rows. Each is computed from the previous stage's written
-    files, so no cleaning shuffle runs twice. The remaining stages are
-    row filters or column drops of these and are derived on read.
+# Raw tables written by default: all five. Two are joins and aggregates of
+# the sources; the others are selective filters and projections whose
+# written copies are far smaller than the source scans they replace (usage
+# rows are one line-item status out of three). Pass a subset to derive some
+# raw tables lazily from the sources instead.
+DERIVED_RAW = tuple(RAW_TABLES)
+
+
+def materialize(tables: Tables, target: str, written_raw=DERIVED_RAW) -> None:
+    """Write the stage tables under ``target`` (overwriting).
+
+    Written: the raw tables in ``written_raw`` (default: all five), the
+    de-duplicated subscriptions and the re-keyed usage rows. Each stage is computed from
+    the previous stage's written files, so no cleaning shuffle runs twice.
+    The remaining stages are row filters or column drops of these and are
+    derived on read.
     """
     spark = tables.spark
-    for out, _ in RAW_TABLES.items():
+    for out in written_raw:
         write_table(getattr(tables, out), f"{target}/{out}")
-    raw = Tables(spark, target, loaders={
-        name: (lambda s, src, o=out: s.read.parquet(f"{src}/{o}"))
-        for out, name in RAW_TABLES.items()})
+    raw = _stage_tables(spark, target, tables, written_raw)
     write_table(raw.dedup_subscription, f"{target}/dedup_subscription")
     write_table(raw.rekeyed_usage(), f"{target}/rekeyed_usage")
 
 
+def _stage_tables(spark, target, source: Tables, written_raw) -> Tables:
+    loaders = {}
+    for out, name in RAW_TABLES.items():
+        if out in written_raw:
+            loaders[name] = (lambda s, src, o=out: s.read.parquet(f"{src}/{o}"))
+        else:
+            loaders[name] = (lambda s, src, o=out: getattr(source, o))
+    return Tables(spark, target, loaders=loaders)
+
+
 class WarehouseTables(Tables):
-    """Stage tables read back from a folder written by ``materialize``."""
+    """Stage tables read back from a folder written by ``materialize``.
+
+    ``source`` supplies the raw tables that were not written (read lazily
+    from the original files).
+    """
 
-    def __init__(self, spark: SparkSession, target: str):
-        super().__init__(spark, target, loaders={
-            name: (lambda s, src, o=out: s.read.parquet(f"{src}/{o}"))
-            for out, name in RAW_TABLES.items()})
+    def __init__(self, spark: SparkSession, target: str, source: Tables | None = None,
+                 written_raw=DERIVED_RAW):
+        if source is None and set(written_raw) != set(RAW_TABLES):
+            raise ValueError("pass the source tables for the raw tables that were not written")
+        stages = _stage_tables(spark, target, source, written_raw)
+        super().__init__(spark, target, loaders=stages._loaders)
 
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.source}/{name}")

@@ -37,10 +37,10 @@ def main(argv=None) -> None:
     args = ap.parse_args(argv)
     spark = build_session()
     params = FIXTURE_PARAMS if args.fixture else Params()
+    source = Tables(spark, args.source, None if args.fixture else _parquet_loaders())
     if not args.skip_clean:
-        loaders = None if args.fixture else _parquet_loaders()
-        materialize(Tables(spark, args.source, loaders), args.warehouse)
-    tables = WarehouseTables(spark, args.warehouse)
+        materialize(source, args.warehouse)
+    tables = WarehouseTables(spark, args.warehouse, source)
     names = [n for n in args.reports.split(",") if n] or sorted(QUERIES)
     unknown = [n for n in names if n not in QUERIES]
     if unknown:

@@ -19,7 +19,7 @@ NAMES = ("active_end_month_included", "accrued_revenue", "revenue_by_industry_pi
 def warehouse(spark):
     target = tempfile.mkdtemp(prefix="spineworks-wh-test-")
     materialize(Tables(spark, SF), target)
-    return WarehouseTables(spark, target)
+    return WarehouseTables(spark, target, Tables(spark, SF))
 
 
 def _bag(df):
