@@ -75,10 +75,16 @@ def distinct_counts(df: DataFrame, table: str, columns: Sequence[str]) -> DataFr
                .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n")))
     # Every row contributes one pair per column, so a column's pair counts
     # add up to the row count: one scan yields both numbers.
-    return counted.groupBy("column").agg(
+    per_column = counted.groupBy("column").agg(
         F.count(F.lit(1)).cast("bigint").alias("nunique"),
-        F.sum("_n").cast("bigint").alias("rows")).select(
-        F.lit(table).alias("table_name"), "column", "nunique", "rows")
+        F.sum("_n").cast("bigint").alias("rows"))
+    # An empty table yields no pairs; the fixed column list keeps its rows (0).
+    names = df.sparkSession.range(1).select(
+        F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
+    return names.join(F.broadcast(per_column), "column", "left").select(
+        F.lit(table).alias("table_name"), "column",
+        F.coalesce(F.col("nunique"), F.lit(0)).cast("bigint").alias("nunique"),
+        F.coalesce(F.col("rows"), F.lit(0)).cast("bigint").alias("rows"))
 
 
 def duplicate_rows_count(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:

@@ -53,3 +53,13 @@ def test_rule_violations_tags_each_rule(spark):
     df = spark.createDataFrame([(1, 0, 5), (2, 3, None), (3, -1, -1)], "id bigint, a bigint, b bigint")
     out = rule_violations(df, "t", "id", {"a_le0": F.col("a") <= 0, "b_le0": F.col("b") <= 0})
     assert rows(out, "rule", "record_id") == [("a_le0", "1"), ("a_le0", "3"), ("b_le0", "3")]
+
+
+def test_distinct_counts_null_is_a_value_and_empty_tables_report_zero(spark):
+    from spineworks.operators.quality import distinct_counts
+    df = spark.createDataFrame([(1, None), (1, "a"), (2, None)], "k bigint, s string")
+    got = {r["column"]: (r["nunique"], r["rows"]) for r in distinct_counts(df, "t", ["k", "s"]).collect()}
+    assert got == {"k": (2, 3), "s": (2, 3)}
+    empty = df.where("k > 5")
+    got = {r["column"]: (r["nunique"], r["rows"]) for r in distinct_counts(empty, "t", ["k", "s"]).collect()}
+    assert got == {"k": (0, 0), "s": (0, 0)}
