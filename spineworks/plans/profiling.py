@@ -146,12 +146,17 @@ def top_accounts_by_subs(t: Tables, p: Params) -> DataFrame:
                  "subscription_count", p.top_k)
 
 
+def _seat_sum():
+    # pandas sums an all-missing group to 0, not to null.
+    return F.coalesce(F.sum("seats"), F.lit(0)).cast("bigint")
+
+
 def top_accounts_by_seats(t: Tables, p: Params) -> DataFrame:
-    return top_k(t.raw_account, "account_id", F.sum("seats"), "seats", p.top_k)
+    return top_k(t.raw_account, "account_id", _seat_sum(), "seats", p.top_k)
 
 
 def top_sub_accounts_by_seats(t: Tables, p: Params) -> DataFrame:
-    return top_k(t.dedup_subscription, "account_id", F.sum("seats"), "seats", p.top_k)
+    return top_k(t.dedup_subscription, "account_id", _seat_sum(), "seats", p.top_k)
 
 
 def top_accounts_by_churn(t: Tables, p: Params) -> DataFrame:
