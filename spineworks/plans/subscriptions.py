@@ -76,11 +76,22 @@ def lost_rows(sub: DataFrame, p: Params, month=None, subscription_id=None) -> Da
                        days_between(F.col("end_date"), F.col("month_date")).alias("duration_days"))
 
 
-def active_vs_lost(sub: DataFrame, p: Params) -> DataFrame:
-    """Active (end month included) next to lost, for months having both."""
-    return active_end_month_included(sub, p).join(lost_per_month(sub, p), "month_date").select(
+def active_vs_lost(sub: DataFrame, p: Params, fill_gaps: bool = False) -> DataFrame:
+    """Active (end month included) next to lost.
+
+    By default only months having both appear (the original inner join);
+    ``fill_gaps`` keeps every active month and reports 0 losses where none
+    occurred. Both sides hold at most one row per spine month.
+    """
+    active, lost = active_end_month_included(sub, p), lost_per_month(sub, p)
+    if not fill_gaps:
+        return active.join(lost, "month_date").select(
+            "month_date", "active_subscriptions", "trial_subscriptions",
+            "lost_active_subscriptions", "lost_trials")
+    return active.join(lost, "month_date", "left").select(
         "month_date", "active_subscriptions", "trial_subscriptions",
-        "lost_active_subscriptions", "lost_trials")
+        F.coalesce(F.col("lost_active_subscriptions"), F.lit(0)).alias("lost_active_subscriptions"),
+        F.coalesce(F.col("lost_trials"), F.lit(0)).alias("lost_trials"))
 
 
 def lost_trend(sub: DataFrame, p: Params) -> DataFrame:

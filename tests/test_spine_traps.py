@@ -79,6 +79,9 @@ def test_active_vs_lost_drops_months_without_losses(spark):
     t = make_tables(spark, [sub_row(1, "2024-01-10", "2024-03-20"),
                             sub_row(2, "2024-01-10", None)])
     assert _months(S.active_vs_lost(t.subscription, P24)) == [D("2024-03-01")]
+    filled = {r["month_date"]: r["lost_active_subscriptions"]
+              for r in S.active_vs_lost(t.subscription, P24, fill_gaps=True).collect()}
+    assert len(filled) == 12 and filled[D("2024-03-01")] == 1 and filled[D("2024-04-01")] == 0
 
 
 def test_unlisted_pivot_category_row_kept(spark):
