@@ -36,3 +36,17 @@ def id_columns(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     return (cat.where((F.col("data_type") == "string") & F.col("column_name").like("%id"))
             .orderBy("table_name", "ordinal_position")
             .select("table_name", "column_name"))
+
+
+def session_tables(spark: SparkSession) -> DataFrame:
+    """Tables and views of the session catalog (e.g. after ``register_views``), sorted."""
+    rows = [(t.name, t.tableType, bool(t.isTemporary)) for t in spark.catalog.listTables()]
+    return spark.createDataFrame(
+        rows, "table_name string, table_type string, is_temporary boolean").orderBy("table_name")
+
+
+def session_columns(spark: SparkSession, names) -> DataFrame:
+    """(table, column, type, position) for catalog tables or views, from the catalog."""
+    rows = [(n, c.name, c.dataType, i + 1) for n in names
+            for i, c in enumerate(spark.catalog.listColumns(n))]
+    return spark.createDataFrame(rows, _CATALOG_SCHEMA).orderBy("table_name", "ordinal_position")

@@ -173,3 +173,15 @@ def test_hot_account_results_match_plain_joins(spark):
     assert m.where("subscription_id IS NULL").count() == 1
     attrs = X.account_sub_attributes(t.raw_account, t.subscription, P24)
     assert attrs.count() == 301   # 300 subscriptions + account 3 without any
+
+
+def test_session_catalog_after_register_views(spark):
+    from spineworks.plans.tables import register_views
+    from spineworks.sources.catalog import session_columns, session_tables
+    t = make_tables(spark, [sub_row(1, "2024-01-10")])
+    names = register_views(t, P24)
+    listed = {r["table_name"] for r in session_tables(spark).collect()}
+    assert set(names) <= listed
+    cols = [(r["column_name"], r["ordinal_position"]) for r in
+            session_columns(spark, ["cal"]).collect()]
+    assert cols == [("month_date", 1)]
