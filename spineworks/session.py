@@ -61,3 +61,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="spineworks-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+def scale_conf(total_cores: int, input_bytes: int, partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized for a cluster run: partitions of about ``partition_bytes``.
+
+    The initial shuffle partition count covers the input at the target
+    partition size (and at least two waves of tasks); AQE then coalesces
+    small partitions to the advisory size and splits skewed ones, so a hot
+    account's partition is cut into several tasks instead of spilling in one.
+    """
+    by_size = -(-input_bytes // partition_bytes)
+    partitions = max(2 * total_cores, by_size)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(partition_bytes),
+    }

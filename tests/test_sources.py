@@ -93,3 +93,10 @@ def test_csv_loaders_feed_tables(spark):
     assert got[D("2024-01-01")] == 1 and got[D("2024-02-01")] == 2 and got[D("2024-03-01")] == 2
     assert t.support_ticket.first()["satisfaction_score"] is None
     assert t.churn_event.first()["feedback_text"] is None
+
+
+def test_scale_conf_sizes_partitions():
+    from spineworks.session import scale_conf
+    conf = scale_conf(total_cores=8000, input_bytes=100 << 40)
+    assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
+    assert scale_conf(64, 1 << 30)["spark.sql.shuffle.partitions"] == "128"
