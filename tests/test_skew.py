@@ -79,3 +79,12 @@ def test_plain_left_join_with_hot_right_side_is_not_split(spark):
         subs, keys.k == subs.account_id, "left"))
     assert n == 60000
     assert "skew=true" not in plan
+
+
+def test_hot_account_is_split_in_not_in(spark):
+    from spineworks.operators.relations import not_in
+    subs = _subs(spark)
+    tickets = spark.range(3000).select(((F.col("id") % 1500) + 501).alias("account_id"))
+    n, plan = _run_with(spark, SKEW_CONF, lambda: not_in(subs, "account_id", tickets, "account_id"))
+    assert n == subs.where("account_id < 501").count()
+    assert "skew=true" in plan
