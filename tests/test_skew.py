@@ -88,3 +88,22 @@ def test_hot_account_is_split_in_not_in(spark):
     n, plan = _run_with(spark, SKEW_CONF, lambda: not_in(subs, "account_id", tickets, "account_id"))
     assert n == subs.where("account_id < 501").count()
     assert "skew=true" in plan
+
+
+def test_hot_account_is_split_in_full_outer_form(spark):
+    from spineworks.operators.relations import full_outer_skew_safe
+    subs = _subs(spark)
+    acc = spark.range(2500).select(F.col("id").alias("a_id"), F.lit("x").alias("tier"))
+    n, plan = _run_with(spark, SKEW_CONF, lambda: full_outer_skew_safe(subs, acc, "account_id", "a_id"))
+    assert n == 60000 + (2500 - 2001)
+    assert "skew=true" in plan
+
+
+def test_hot_group_of_copies_is_split_in_duplicate_listing(spark):
+    from spineworks.operators.quality import duplicate_members
+    rows = spark.range(60000).select(
+        F.col("id"), F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("v"),
+        F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.col("id").cast("string")).alias("s"))
+    n, plan = _run_with(spark, SKEW_CONF, lambda: duplicate_members(rows, ["v", "s"]))
+    assert n == 20000
+    assert "skew=true" in plan
