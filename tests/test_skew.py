@@ -107,3 +107,17 @@ def test_hot_group_of_copies_is_split_in_duplicate_listing(spark):
     n, plan = _run_with(spark, SKEW_CONF, lambda: duplicate_members(rows, ["v", "s"]))
     assert n == 20000
     assert "skew=true" in plan
+
+
+def test_surrogate_key_spreads_a_hot_group_of_copies(spark):
+    from spineworks.operators.quality import surrogate_key
+    n = 30000
+    rows = spark.range(n).repartition(6).select(
+        F.lit(0).alias("usage_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("sub"),
+        F.when(F.col("id") % 3 == 0, F.lit("dup")).otherwise(F.lit("x")).alias("name"))
+    out = surrogate_key(rows, "usage_id", ["sub", "name"], num_partitions=8)
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and max(sizes) < n / 4   # the 10,000 copies are cut up
+    ids = out.agg(F.min("usage_id"), F.max("usage_id"), F.countDistinct("usage_id")).first()
+    assert tuple(ids) == (1, n, n)
