@@ -1,4 +1,4 @@
-"""The entity tables at each stage of the cleaning pipeline.
+"""The entity tables at each stage of cleaning.
 
 Stages follow the original workflow: ``raw`` tables as loaded; the
 ``dedup`` stage (subscription copies removed, usage re-keyed) on which the

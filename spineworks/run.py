@@ -13,7 +13,7 @@ from __future__ import annotations
 import argparse
 
 from spineworks.plans.params import FIXTURE_PARAMS, Params
-from spineworks.plans.pipeline import WarehouseTables, materialize
+from spineworks.plans.warehouse import WarehouseTables, materialize
 from spineworks.plans.registry import QUERIES
 from spineworks.plans.tables import Tables
 from spineworks.session import build_session

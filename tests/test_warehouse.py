@@ -5,7 +5,7 @@ import tempfile
 import pytest
 
 from spineworks.plans.params import FIXTURE_PARAMS as P
-from spineworks.plans.pipeline import WarehouseTables, materialize
+from spineworks.plans.warehouse import WarehouseTables, materialize
 from spineworks.plans.registry import QUERIES
 from spineworks.plans.tables import Tables
 
