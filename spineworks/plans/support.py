@@ -80,8 +80,9 @@ def tickets_per_month(t: DataFrame, p: Params, fill_gaps: bool = False) -> DataF
            .groupBy("month_date").agg(F.count("month_date").alias("ticket")))
     if fill_gaps:
         spine = month_spine(t.sparkSession, p.ticket_calendar_start, p.ticket_calendar_end)
-        # Both sides hold at most one row per calendar month.
-        per = F.broadcast(spine).join(per, "month_date", "left").select(
+        # Both sides hold at most one row per calendar month; the right side
+        # of a left join is the one that can be broadcast.
+        per = spine.join(F.broadcast(per), "month_date", "left").select(
             "month_date", F.coalesce(F.col("ticket"), F.lit(0)).alias("ticket"))
     return per.select("month_date", "ticket", diff_previous("ticket").alias("diff"))
 
