@@ -31,6 +31,11 @@ def not_in(left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataF
     # into the right scan (which would make the two uses differ). Rows it
     # lets through that NOT IN rejects (a null left key) are removed by the
     # final condition, and any null on the right empties the result there.
+    # The null-safe key also gives both join inputs their own exchange on
+    # the join key. That costs a second shuffle of the distinct right keys,
+    # but it is what lets AQE split a hot left key: skew splitting needs
+    # shuffle stages directly under the join, which the reused aggregate
+    # partitioning of a plain-equality form would not provide.
     survivors = left.join(keys, F.col(key).eqNullSafe(F.col("_rk")), "left_anti")
     return (survivors.crossJoin(F.broadcast(stats))
             .where((F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(key).isNotNull()))
