@@ -52,13 +52,19 @@ def in_except(left: DataFrame, key: str, include: DataFrame, include_key: str,
     the left meets exactly one row on the right.
     """
     exc = exclude.select(F.col(exclude_key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
+    # Keys on both sides are non-null, so comparing null-safely changes
+    # nothing in the result; it gives the join its own exchange on each side
+    # (instead of reusing the distinct aggregate's partitioning), which is
+    # what lets AQE split a hot key of the left side.
     if include is left and include_key == key:
         # Every non-null key of the left side is in its own key set, so only
         # the exclusion remains: one scan of the left side, one anti join.
-        return left.where(F.col(key).isNotNull()).join(exc, F.col(key) == F.col("_k"), "left_anti")
+        return left.where(F.col(key).isNotNull()).join(
+            exc, F.col(key).eqNullSafe(F.col("_k")), "left_anti")
     inc = include.select(F.col(include_key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     keys = inc.join(exc, "_k", "left_anti")
-    return left.join(keys, F.col(key) == F.col("_k"), "left_semi")
+    return left.where(F.col(key).isNotNull()).join(
+        keys, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
 
 
 def full_outer_skew_safe(big: DataFrame, small: DataFrame, key: str,

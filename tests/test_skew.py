@@ -121,3 +121,13 @@ def test_surrogate_key_spreads_a_hot_group_of_copies(spark):
     assert sum(sizes) == n and max(sizes) < n / 4   # the 10,000 copies are cut up
     ids = out.agg(F.min("usage_id"), F.max("usage_id"), F.countDistinct("usage_id")).first()
     assert tuple(ids) == (1, n, n)
+
+
+def test_hot_account_is_split_in_in_except(spark):
+    from spineworks.operators.relations import in_except
+    subs = _subs(spark)
+    churn = spark.range(3000).select(((F.col("id") % 1500) + 501).alias("account_id"))
+    n, plan = _run_with(spark, SKEW_CONF,
+                        lambda: in_except(subs, "account_id", subs, "account_id", churn, "account_id"))
+    assert n == subs.where("account_id < 501").count()
+    assert "skew=true" in plan
