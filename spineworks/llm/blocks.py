@@ -9,42 +9,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, stage
+from .common import ship, stage
 
 #: Vectors of one block, and queries of one block.
 BLOCK_ROWS = 8192
-BLOCK_QUERIES = 2048
+BLOCK_QUERIES = 1024
 
 
-def vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, v, dim): the rows that take part, with v as array<double>.
+def vectors(table: DataFrame, id_col: str, vector_col: str, every: int) -> DataFrame:
+    """(vec_id, v, dim, is_query): the rows that take part, with v as array<double>.
 
     Left out: null ids; vectors null, empty or holding null or non-finite
-    components. Rows with one id count once (its smallest vector).
+    components. Rows with one id count once (its smallest vector). Queries
+    are the ids divisible by ``every``.
     """
     v = F.col("v")
     df = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     df = df.where(F.col("vec_id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(True)))
-    return df.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    return df.groupBy("vec_id").agg(F.min("v").alias("v")).select(
+        "vec_id", "v", F.size("v").alias("dim"), (F.col("vec_id") % every == 0).alias("is_query"))
 
 
-def _stacked(batches, wanted: str):
-    """Rows of one sorted partition as whole groups: (key, ids, matrix) in order."""
-    raise NotImplementedError
+def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks]
+    return np.concatenate(flat).reshape(-1, dim) if flat else np.zeros((0, dim))
 
 
-def search(rows: DataFrame, queries: DataFrame, k: int, kernel: Callable, score_type: str,
+def search(rows: DataFrame, k: int, kernel: Callable, score_type: str,
            block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of ``kernel`` over all blocks, ties to smaller vec_id.
 
     ``kernel(ids, matrix, query_ids, query_matrix, k)`` returns (query
-    index, row index, score) of at most k rows for each query and leaves out
-    the query's own row. Rows and queries of equal dimension are dealt by
-    hash into blocks; every pair of a row block and a query block is one
-    group, of bounded size, holding the k best of its rows. The k best of
-    all blocks are taken by rank with a limit before the shuffle.
+    index, row index, score) of the best k rows of each query and leaves out
+    the query's own row. Rows and queries of one dimension are dealt by hash
+    into blocks; a row block and a query block make one group, of bounded
+    size. Vectors of other dimensions have no inner product with a query.
     """
-    dims = {r["dim"]: (r["n"], r["q"]) for r in rows.groupBy("dim").agg(
-        F.count("*").alias("n"), F.sum("is_query").alias("q")).collect()}
-    raise NotImplementedError
+    ship(rows.sparkSession)
+    rows = stage(rows, "vectors")
+    n_blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / F.lit(size))).cast("int")
+    dims = stage(rows.groupBy("dim").agg(
+        n_blocks(F.count("*"), block_rows).alias("row_blocks"),
+        n_blocks(F.sum(F.col("is_query").cast("int")), block_queries).alias("query_blocks"),
+        F.max("is_query").alias("asked")).where("asked").drop("asked"), "dims")
+    h = F.xxhash64("vec_id")
+    dealt = rows.join(dims, "dim")
+    homes = dealt.select("dim", "vec_id", "v", F.lit(False).alias("asks"), F.pmod(h, "row_blocks").cast("int").alias("rb"),
+                         F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)).alias("qb"))
+    asks = dealt.where("is_query").select("dim", "vec_id", "v", F.lit(True).alias("asks"),
+                                          F.explode(F.sequence(F.lit(0), F.col("row_blocks") - 1)).alias("rb"),
+                                          F.pmod(h, "query_blocks").cast("int").alias("qb"))
+    kind = pa.int64() if score_type == "long" else pa.float64()
+    names = ["query_id", "vec_id", "score"]
+
+    def meet(table: pa.Table) -> pa.Table:
+        dim = table.column("dim")[0].as_py()
+        home = table.filter(pa.compute.invert(table.column("asks"))).sort_by("vec_id")
+        ask = table.filter(table.column("asks")).sort_by("vec_id")
+        ids, asked = home.column("vec_id").to_numpy(), ask.column("vec_id").to_numpy()
+        if not len(ids) or not len(asked):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), kind)], names)
+        q, r, s = kernel(ids, _matrix(home.column("v"), dim), asked, _matrix(ask.column("v"), dim), k)
+        return pa.table([pa.array(asked[q]), pa.array(ids[r]), pa.array(s, kind)], names)
+
+    found = homes.unionByName(asks).groupBy("dim", "rb", "qb").applyInArrow(
+        meet, f"query_id long, vec_id long, score {score_type}")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", "score")

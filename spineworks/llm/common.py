@@ -119,3 +119,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, word_bytes: np.ndarray = W
 def local_temp(prefix: str) -> str:
     """A scratch name next to a final file; unique per attempt."""
     return f"{prefix}.{os.getpid()}-{uuid.uuid4().hex}.tmp"
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+    return public_tokenizers.path(name)

@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bounded_topk, collision_search, mixing, packing, simhash, token_files
+from .common import tokenizer_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,32 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, distance=4)
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mix of all documents by source: weights 5, 2, 1, 150% of all words, at most twice each."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product of every 20th embedding, among all."""
+    return collision_search.nearest(_table(spark, sf_dir, "embeddings"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest integer inner products of every 20th embedding, among all."""
+    return bounded_topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as rANS token files of the byte-level vocabulary, read back."""
+    return token_files.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
+
+
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of at most 2048 tokens of the word vocabulary."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup,)
+    f.__name__: f for f in (op1_simhash_near_dedup, op3_mix_sources, op4_nearest, op5_exact_top_k, op7_token_files, op10_pack)
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}  # op5 by SQL is a cross join, too slow at size

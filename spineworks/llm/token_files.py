@@ -131,7 +131,7 @@ def round_trip(docs: DataFrame, vocabulary: str, end_id: int = 0, **options) ->
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     heads = stage(manifest.select("part", "number",
                                   F.coalesce(F.sum("tokens").over(before), F.lit(0)).alias("ahead")), "heads")
-    if heads.head(1) is None:
+    if not heads.head(1):
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     rows = read(spark, folder).join(heads, ["part", "number"])
     return rows.select("doc_id", (F.col("ahead") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
