@@ -47,7 +47,7 @@ def targets(sources: DataFrame, weights: Sequence[float], share: float, cap: flo
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source, finish), in the order of the mix.
+    """(doc_id, size, source_size, target, taken, source, finish, text_hash), in the order of the mix.
 
     size: words of the text (null: 0). taken: words that the mix takes, all
     rounds counted, at most ceil(cap) times the size. finish: virtual finish
@@ -61,8 +61,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     sized = stage(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
-        "sizes").withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+        F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")), "sizes").withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = stage(targets(sums, weights, share, cap), "targets").withColumnRenamed("source", "plan_source")
     per = F.greatest(F.lit(256.0), F.sqrt("n"))
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     heads = stage(heads.select(F.col("source").alias("head_source"), F.col("bucket").alias("head_bucket"),
                                F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("ahead")), "heads")
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     queued = queued.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     queued = queued.join(heads, F.col("source").eqNullSafe(F.col("head_source"))
                          & (F.col("bucket") == F.col("head_bucket")))
@@ -86,7 +86,32 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         taken = taken + F.greatest(F.lit(0), F.least(left, F.col("size"))).cast("long")
     finish = F.when(F.col("target") > 0, (start + F.col("size")) / F.col("target"))
     return queued.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source",
-                         finish.alias("finish")).orderBy(F.col("finish").asc_nulls_last(), "source", "doc_id")
+                         finish.alias("finish"), "text_hash").orderBy(F.col("finish").asc_nulls_last(), "source", "doc_id")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+          weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """Rows of ``docs``, all columns, as often as the mix takes them.
+
+    A document taken in part gives a last row with its first words, joined
+    by single spaces. Documents of which no word is taken give no row.
+    Equal rows (id and text) share what they take.
+    """
+    plan = mix(docs, id_col, text_col, source_col, weights, share, cap).where("taken > 0").groupBy(
+        F.col("doc_id").alias("plan_id"), F.col("text_hash").alias("plan_hash")).agg(
+        F.max("size").alias("size"), F.sum("taken").alias("taken"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"),
+                       F.xxhash64(text).alias("own_hash")).dropDuplicates(["own_id", "own_hash"])
+    rows = rows.join(stage(plan, "mix"), F.col("own_id").eqNullSafe(F.col("plan_id")) & (F.col("own_hash") == F.col("plan_hash")))
+    rest = F.col("taken") % F.col("size")
+    full = F.array_repeat(F.lit(None).cast("int"), F.floor(F.col("taken") / F.col("size")).cast("int"))
+    part = F.when(rest > 0, F.array(rest.cast("int"))).otherwise(F.array().cast("array<int>"))
+    rows = rows.withColumn("first_words", F.explode(F.concat(full, part)))
+    own = F.col("row").getField(text_col)
+    cut = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(f"({WORD})")), F.lit(1), F.col("first_words")), " ")
+    text = F.when(F.col("first_words").isNull(), own).otherwise(cut)
+    return rows.select(*[text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

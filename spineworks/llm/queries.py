@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bounded_topk, collision_search, mixing, packing, simhash, token_files
+from . import (bounded_topk, chunks, collision_search, cotraining, licenses, mixing, packing, scoring, simhash,
+               token_files)
 from .common import tokenizer_path
 
 
@@ -19,9 +20,14 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, distance=4)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the passages that documents before it have."""
+    return chunks.dedup_substrings(_table(spark, sf_dir, "documents"))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mix of all documents by source: weights 5, 2, 1, 150% of all words, at most twice each."""
-    return mixing.mix(_table(spark, sf_dir, "documents"))
+    return mixing.mix(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,17 +40,35 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bounded_topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in all documents."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as rANS token files of the byte-level vocabulary, read back."""
     return token_files.round_trip(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=0)
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of all documents; the target are documents labelled good."""
+    docs = _table(spark, sf_dir, "documents")
+    return scoring.score(docs, scoring.labelled(docs, _table(spark, sf_dir, "labels")),
+                         tokenizer_path("byte_bpe_50k.json"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents by two co-trained views."""
+    docs = _table(spark, sf_dir, "documents")
+    return cotraining.score(docs, cotraining.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into windows of at most 2048 tokens of the word vocabulary."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_near_dedup, op3_mix_sources, op4_nearest, op5_exact_top_k, op7_token_files, op10_pack)
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_simhash_near_dedup, op2_substring_dedup, op3_mix_sources, op4_nearest, op5_exact_top_k, op6_license_scan,
+    op7_token_files, op8_lm_score, op9_quality, op10_pack)}
 ORACLE: dict[str, str] = {"op3_mix_sources": mixing.ORACLE}  # op5 by SQL is a cross join, too slow at size

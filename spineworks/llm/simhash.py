@@ -70,7 +70,7 @@ def fingerprint_batch(data, offsets, width: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(doc_id, fp): the SimHash of each row's word shingles, as a signed long.
+    """(doc_id, text_hash, fp): the SimHash of each row's word shingles, as a signed long.
 
     Null or wordless text: 0. Fewer than ``width`` words: the one shorter
     shingle. Repeated shingles count each time. Whole texts of any length;
@@ -80,10 +80,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for rows, data, offsets in text_slices(batch, "text"):
                 fp = fingerprint_batch(data, offsets, width).view(np.int64)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fp)], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(fp)],
+                                                 ["doc_id", "text_hash", "fp"])
 
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_arrow(src, run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return map_arrow(src, run, "doc_id long, text_hash long, fp long")
 
 
 # --- partitions and thresholds -------------------------------------------------
@@ -289,11 +291,12 @@ def linked(fps: DataFrame, distance: int = 4) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     width: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row for each input row.
+    """(doc_id, fingerprint, component_id, text_hash, root), one row for each input row.
 
     fingerprint: 16 lowercase hex digits. component_id: the smallest doc_id
     reachable over links, the row's own included; null only if every
-    document reached has a null id. Repeated rows give repeated output rows.
+    document reached has a null id. text_hash: xxhash64 of the text; root:
+    the class's smallest fingerprint, as a signed long. Repeated rows give repeated output rows.
     Empty input gives an empty result.
     """
     prints = stage(fingerprints(docs, id_col, text_col, width), "fingerprints")
@@ -303,6 +306,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "fp", "low", F.coalesce("v", "fp").alias("root"))
     rooted = stage(rooted, "rooted")
     lows = stage(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "lows")
-    classes = stage(rooted.join(lows, "root").select("fp", "component_id"), "classes")
+    classes = stage(rooted.join(lows, "root").select("fp", "component_id", "root"), "classes")
     return prints.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
+        "text_hash", "root")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                width: int = 4, distance: int = 4) -> DataFrame:
+    """Rows of ``docs``, all columns, one for each class: that of the smallest id (null ids last), then text hash."""
+    found = near_duplicates(docs, id_col, text_col, width, distance)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    best = stage(found.groupBy("root").agg(F.min(order).alias("b")).select(
+        F.col("b.doc_id").alias("doc_id"), F.col("b.text_hash").alias("text_hash")).distinct(), "best")
+    row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"),
+                      F.xxhash64(F.col(text_col).cast("string")).alias("own_hash"))
+    kept = row.join(best, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own_hash"]).select("row.*")

@@ -57,7 +57,7 @@ def _check_simhash(rows, got):
     for i, (d, _) in enumerate(fps):
         low[find(i)].append(d)
     want = [(d, f"{f:016x}", min((x for x in low[find(i)] if x is not None), default=None)) for i, (d, f) in enumerate(fps)]
-    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got)
+    assert sorted(map(str, want)) == sorted(str(tuple(r)[:3]) for r in got)
 
 
 def test_op1(spark, edges, empty):
