@@ -118,7 +118,7 @@ def test_op8(spark, edges):
     path = tokenizer_path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
     docs = duckdb.sql(f"select doc_id, text from '{SMALL}/documents.parquet'").fetchall()
-    ids = {d: np.array([*lib.encode(t or "", add_special_tokens=False).ids, 50256]) for d, t in docs}
+    ids = {d: np.array([*lib.encode(t or "", add_special_tokens=False).ids, 50256], "<u2") for d, t in docs}
     table = np.zeros(scoring.VOCABULARY + scoring.CELLS)
     for x in ids.values():
         np.add.at(table, x, 1)
