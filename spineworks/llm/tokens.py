@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Encoded pieces kept by one Python worker; the cache starts anew when full.
-CACHE_PIECES = 1_200_000
+CACHE_PIECES = 200_000
 #: Pieces encoded in one call.
 CALL_PIECES = 512
 
