@@ -20,11 +20,11 @@ def round_half_up_ratio(num, den, scale: int = 2, factor: int = 1) -> Column:
     Computed with integer division on the exact rational value, then scaled
     back to a double; null or zero denominators give null.
     """
-    n, d = as_col(num).cast("bigint"), as_col(den).cast("bigint")
+    n, d = as_col(num).cast("decimal(38,0)"), as_col(den).cast("decimal(38,0)")
     unit = 10 ** scale
     a = n * (2 * factor * unit) + d
     b = d * 2
-    q = ((a - F.pmod(a, b)) / b).cast("bigint")  # exact floor(a / b)
+    q = F.call_function("div", a, F.when(d != 0, b))  # exact floor(a / b)
     return F.when(d == 0, F.lit(None).cast("double")).otherwise(q.cast("double") / unit)
 
 

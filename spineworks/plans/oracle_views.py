@@ -54,7 +54,7 @@ WITH li_agg AS (
          CAST(l_quantity AS bigint) - 1 AS usage_count,
          CAST(floor(l_extendedprice / 100) AS bigint) AS usage_duration_secs,
          CAST(l_linenumber - 1 AS bigint) AS error_count
-  FROM lineitem WHERE l_returnflag = 'R'
+  FROM lineitem
 ), support_ticket AS (
   SELECT event_id AS ticket_id, user_id AS account_id,
          CASE event_id % 3 WHEN 0 THEN ts WHEN 1 THEN ts + interval '1' month ELSE ts + interval '3' month END AS submitted_at,
@@ -74,7 +74,7 @@ WITH li_agg AS (
          CAST(CASE WHEN event_id % 3 = 0 THEN value ELSE 0 END AS double) AS refund_amount_usd,
          event_type = 'signup' AS is_reactivation
   FROM events
-  WHERE (event_type = 'error' AND event_id % 11 = 0) OR (event_type = 'signup' AND event_id % 17 = 0)
+  WHERE event_type IN ('error', 'signup')
 ), dedup_subscription AS (
   SELECT min(subscription_id) AS subscription_id, account_id, start_date, end_date, plan_tier, seats,
          mrr_amount, is_trial, upgrade_flag, downgrade_flag, churn_flag, billing_frequency,

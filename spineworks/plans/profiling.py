@@ -201,7 +201,7 @@ def _rules(t: Tables):
         "zero_revenue_upgrade_not_trial": zero & up & ~down & ~trial,
         "zero_revenue_downgrade": zero & ~up & down,
         "mrr_above_arr": mrr > arr,
-        "arr_not_twelve_mrr": ~(mrr * 12).eqNullSafe(arr),
+        "arr_not_twelve_mrr": ~(mrr * 12).eqNullSafe(arr) | (mrr.isNull() & arr.isNull()),
     }
     acc = {"seats_not_positive": F.col("seats") <= 0}
     usage = {"usage_count_not_positive": F.col("usage_count") <= 0,

@@ -88,8 +88,7 @@ def account(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feature_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = _read(spark, sf_dir, "lineitem")
     line = F.col("l_linenumber")
-    return (li.where(F.col("l_returnflag") == "R")
-            .select((F.col("l_orderkey") * 10 + line % 3).cast("bigint").alias("usage_id"),
+    return (li.select((F.col("l_orderkey") * 10 + line % 3).cast("bigint").alias("usage_id"),
                     F.col("l_orderkey").alias("subscription_id"),
                     F.col("l_shipdate").cast("date").alias("usage_date"),
                     F.concat(F.lit("feature_"), line.cast("string")).alias("feature_name"),
@@ -122,7 +121,7 @@ def support_ticket(spark: SparkSession, sf_dir: str) -> DataFrame:
 def churn_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = _read(spark, sf_dir, "events")
     eid, et = F.col("event_id"), F.col("event_type")
-    return (ev.where(((et == "error") & (eid % 11 == 0)) | ((et == "signup") & (eid % 17 == 0)))
+    return (ev.where(et.isin("error", "signup"))
             .select(eid.alias("churn_event_id"),
                     F.col("user_id").alias("account_id"),
                     F.col("ts").cast("date").alias("churn_date"),

@@ -46,3 +46,11 @@ def test_blank_and_empty(spark):
                  F.count(F.when(is_empty("s"), 1)).alias("e"),
                  F.count(F.when(F.col("s").isNull(), 1)).alias("n")).first()
     assert (got["w"], got["e"], got["n"]) == (2, 1, 1)
+
+
+def test_ratio_is_exact_for_large_counts(spark):
+    from spineworks.functions.numbers import percent_half_up
+    pairs = [(123456789012345 + 7 * i, 987654321098765 + 13 * i) for i in range(500)] + [(10 ** 15, 3 * 10 ** 15), (1, 0)]
+    df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", percent_half_up("a", "b").alias("p"))
+    for r in df.collect():
+        assert r.p == (None if r.b == 0 else (r.a * 20000 + r.b) // (2 * r.b) / 100)
