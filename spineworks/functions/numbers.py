@@ -33,24 +33,28 @@ def percent_half_up(part, whole, scale: int = 2) -> Column:
     return round_half_up_ratio(part, whole, scale=scale, factor=100)
 
 
+def _exact(x) -> Column:
+    """A measure with up to 10 decimals, unrounded up to there."""
+    return as_col(x).cast("decimal(28,10)")
+
+
 def exact_sum(x, scale: int = 2) -> Column:
-    """Sum of a fixed-point measure, exact (as DECIMAL) and returned as DOUBLE."""
-    return F.sum(as_col(x).cast(f"decimal(18,{scale})")).cast("double")
+    """``round(sum(x), scale)`` as DOUBLE; values are summed unrounded, the sum is rounded once."""
+    return F.round(F.sum(_exact(x)), scale).cast("double")
 
 
-def exact_avg(x, scale: int = 2) -> Column:
-    """Average of a fixed-point measure (nulls skipped), from an exact sum.
+def exact_avg(x) -> Column:
+    """Average of a measure (nulls skipped) from an exact sum, not rounded.
 
-    ``scale`` is the number of decimals the measure carries; the sum is kept
-    as an exact DECIMAL so the result does not depend on partition order.
+    The sum is an exact DECIMAL, so the result does not depend on partition
+    order.
     """
-    c = as_col(x)
-    return F.sum(c.cast(f"decimal(18,{scale})")).cast("double") / F.count(c)
+    return F.sum(_exact(x)).cast("double") / F.count(as_col(x))
 
 
 def avg_half_up(x, decimals: int = 2) -> Column:
-    """``round(avg(x), decimals)`` half-up, from an exact sum (x has <= ``decimals`` decimals)."""
-    c = as_col(x)
-    unit = 10 ** decimals
-    scaled_sum = (F.sum(c.cast(f"decimal(18,{decimals})")) * unit).cast("bigint")
-    return round_half_up_ratio(scaled_sum, F.count(c), scale=0) / unit
+    """``round(avg(x), decimals)``, halves away from zero, on the exact average."""
+    total = F.sum(_exact(x))
+    digits = (F.abs(total) * 10 ** 10).cast("decimal(38,0)")
+    size = round_half_up_ratio(digits, F.count(as_col(x)).cast("decimal(20,0)") * 10 ** 10, scale=decimals)
+    return F.when(total < 0, -size).otherwise(size)

@@ -98,19 +98,6 @@ def duplicate_rows_count(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame
             .agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("duplicates")))
 
 
-def duplicate_key_count(df: DataFrame, key: str) -> DataFrame:
-    """Rows minus distinct values of ``key`` (null counted as a value)."""
-    return (df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-            .agg((F.coalesce(F.sum("_n"), F.lit(0)) - F.count(F.lit(1))).cast("bigint")
-                 .alias("duplicates")))
-
-
-def nunique(df: DataFrame, key: str) -> DataFrame:
-    """Distinct values of ``key``, null counted as one value."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(
-        F.count(F.lit(1)).cast("bigint").alias("nunique"))
-
-
 def duplicate_members(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """All rows belonging to a group with more than one row on ``cols``.
 

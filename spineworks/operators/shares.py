@@ -33,19 +33,12 @@ def group_counts(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def value_counts(df: DataFrame, column: str, dropna: bool = False) -> DataFrame:
-    """(value, count) per distinct value, most frequent first; nulls kept unless dropna."""
-    src = df.where(F.col(column).isNotNull()) if dropna else df
-    return (src.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-            .orderBy(F.desc("count"), F.asc_nulls_last(column)))
-
-
 def value_counts_long(df: DataFrame, table: str, columns, dropna: bool = False) -> DataFrame:
     """Value counts of several columns in long form (table, column, value, count).
 
     Values are rendered as text so columns of different types share one
     output column. One scan of ``df`` feeds all columns: the rows are
-    exploded into (column, value) pairs after a map-side partial count.
+    exploded into (column, value) pairs, then counted (map-side first).
     """
     pairs = F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))

@@ -18,10 +18,31 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
 def _month():
     return F.expr("interval 1 month")
 
 
+def month_after(day: dt.date) -> dt.date:
+    """First day of the next month."""
+    return (day.replace(day=1) + dt.timedelta(days=32)).replace(day=1)
+
+
+def in_months(date: str, start: dt.date, end: dt.date) -> Column:
+    """``date`` lies in the months start..end, as plain bounds that reach the scan."""
+    return (F.col(date) >= F.lit(start)) & (F.col(date) < F.lit(month_after(end)))
+
+
+def started_by(end: dt.date, date: str = "start_date") -> Column:
+    """``date`` lies in month ``end`` or before, as a plain bound that reaches the scan."""
+    return F.col(date) < F.lit(month_after(end))
+
+
+def not_ended_before(start: dt.date, date: str = "end_date") -> Column:
+    """``date`` is open or not before ``start``, as a plain bound that reaches the scan."""
+    return F.col(date).isNull() | (F.col(date) >= F.lit(start))
+
+
 def clip_range(lo: Column, hi: Column | None, start: dt.date, end: dt.date):
     """Clip a month range to the spine; a null ``hi`` means open-ended."""
     lo_c = F.greatest(lo, F.lit(start))

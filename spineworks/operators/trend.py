@@ -13,7 +13,3 @@ def diff_previous(value: str, order: str = "month_date") -> Column:
     (bounded by the calendar length), so the unpartitioned window is tiny.
     """
     return F.col(value) - F.lag(value).over(Window.orderBy(order))
-
-
-def with_diff(df: DataFrame, value: str, name: str, order: str = "month_date") -> DataFrame:
-    return df.withColumn(name, diff_previous(value, order))

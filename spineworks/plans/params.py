@@ -8,7 +8,7 @@ boundaries stay explicit and any year can be reported.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 
 def _d(s: str) -> dt.date:
@@ -55,7 +55,6 @@ class Params:
     industry_labels: tuple = REFERENCE_INDUSTRY_LABELS
     # Number of rows in the top-k account reports.
     top_k: int = 10
-    extra: dict = field(default_factory=dict)
 
     @property
     def window_start(self) -> dt.date:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spineworks.plans import exploration as X
 from spineworks.plans import profiling as P
@@ -131,3 +132,30 @@ for _name in ("null_profile", "empty_profile", "whitespace_profile", "dup_rows_i
               "churn_reconciliation", "churn_summary", "clean_subscription", "clean_usage"):
     QUERIES[_name] = getattr(P, _name)
 QUERIES["rule_violations"] = P.rule_violations_report
+
+#: Final row order of the reports that end in a sort ("-" is descending, nulls
+#: last). Ids break ties, so a range sort can cut a hot key.
+FINAL_ORDER = {
+    "accrued_revenue": ("month_date",),
+    "recurring_revenue": ("month_date",),
+    "recurring_rows_no_end_filter": ("subscription_id", "month_date"),
+    "accrual_inclusive": ("subscription_id", "month_date"),
+    "revenue_by_plan_pivot": ("month_date",),
+    "revenue_by_industry_pivot": ("month_date",),
+    "churn_reactivation_map": ("reactivated_account_id", "churned_account_id", "subscription_id"),
+    "account_sub_attributes": ("account_id", "subscription_id"),
+    "active_rows_closed_only": ("subscription_id", "month_date", "start_date"),
+    "starts_per_month": ("start_month",),
+    "ticket_satisfaction_per_month": ("month_date",),
+    "reason_feedback_matrix": ("reason_code", "feedback_text"),
+    "value_counts_profile": ("table_name", "column", "-count", "value"),
+}
+
+
+def _ordered(fn: Query, keys) -> Query:
+    def run(t, p):
+        return fn(t, p).orderBy(*[F.desc_nulls_last(k[1:]) if k[0] == "-" else F.asc_nulls_last(k) for k in keys])
+    return run
+
+
+QUERIES.update({name: _ordered(QUERIES[name], keys) for name, keys in FINAL_ORDER.items()})

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spineworks.functions import last_counted_month, month_start, whole_months
-from spineworks.operators.pivot import pivot_fixed
-from spineworks.operators.spine import clip_range, expand_months, spread
+from spineworks.operators.spine import (
+    clip_range, expand_months, not_ended_before, spread, started_by)
 from spineworks.plans.params import Params
 
 
@@ -30,7 +30,7 @@ def accrued_revenue(sub: DataFrame, p: Params) -> DataFrame:
     a key space of months^2 x 2, before expansion over the spine.
     """
     end = F.coalesce(F.col("end_date"), F.lit(p.accrual_horizon))
-    members = sub.where(_not_trial() & F.col("start_date").isNotNull())
+    members = sub.where(_not_trial() & started_by(p.calendar_end) & not_ended_before(p.calendar_start))
     lo_c, hi_c = clip_range(month_start("start_date"), last_counted_month(end),
                             p.calendar_start, p.calendar_end)
     pre = (members.select(month_start("start_date").alias("lo"),
@@ -62,7 +62,7 @@ def _recurring_members(sub: DataFrame, p: Params) -> DataFrame:
     cond = (_not_trial() & ended_late) | F.col("end_date").isNull()
     if p.strict_trial_filter:
         cond = cond & _not_trial()
-    return sub.where(cond)
+    return sub.where(cond & started_by(p.calendar_end))
 
 
 def _recurring_range(p: Params):
@@ -97,8 +97,8 @@ def recurring_rows(sub: DataFrame, account: DataFrame, p: Params) -> DataFrame:
         _mrr().cast("double").alias("mrr_amount"))
 
 
-def _revenue_by(sub: DataFrame, account: DataFrame, p: Params, by: str, out: str) -> DataFrame:
-    """Member MRR per (month, ``by``), subscriptions inner-joined to accounts.
+def _revenue_by(sub: DataFrame, account: DataFrame, p: Params, by: str) -> DataFrame:
+    """Member MRR (mrr) per (``by``, range) and month, subscriptions inner-joined to accounts.
 
     The member rows are narrowed to (account, tier, start month, end month,
     MRR) and joined to the accounts first: AQE broadcasts the account side
@@ -116,28 +116,33 @@ def _revenue_by(sub: DataFrame, account: DataFrame, p: Params, by: str, out: str
     acc = account.select(F.col("account_id").alias("_acc"), "industry")
     joined = members.join(acc, members.account_id == acc._acc)
     grouped = joined.groupBy(by, "_lo", "_hi").agg(F.sum("mrr_amount").alias("mrr"))
-    return (expand_months(grouped, "_lo", "_hi").groupBy("month_date", by)
-            .agg(F.sum("mrr").cast("double").alias(out)))
+    return expand_months(grouped, "_lo", "_hi")
+
+
+def _long(rows: DataFrame, by: str, out: str) -> DataFrame:
+    return rows.groupBy("month_date", by).agg(F.sum("mrr").cast("double").alias(out))
+
+
+def _pivot(rows: DataFrame, by: str, values, labels) -> DataFrame:
+    """One aggregate over the expanded ranges; the value list is fixed, so no discovery job."""
+    wide = rows.groupBy("month_date").pivot(by, list(values)).agg(F.sum("mrr"))
+    return wide.select("month_date", *[F.col(f"`{v}`").cast("double").alias(lab) for v, lab in zip(values, labels)])
 
 
 def revenue_by_plan_long(sub: DataFrame, account: DataFrame, p: Params) -> DataFrame:
-    return _revenue_by(sub, account, p, "plan_tier", "rev_plan_tier")
+    return _long(_revenue_by(sub, account, p, "plan_tier"), "plan_tier", "rev_plan_tier")
 
 
 def revenue_by_industry_long(sub: DataFrame, account: DataFrame, p: Params) -> DataFrame:
-    return _revenue_by(sub, account, p, "industry", "rev_industry")
+    return _long(_revenue_by(sub, account, p, "industry"), "industry", "rev_industry")
 
 
 def revenue_by_plan_pivot(sub: DataFrame, account: DataFrame, p: Params) -> DataFrame:
-    long = revenue_by_plan_long(sub, account, p)
-    return pivot_fixed(long, "month_date", "plan_tier", "rev_plan_tier",
-                       p.plan_tiers, p.plan_tier_labels)
+    return _pivot(_revenue_by(sub, account, p, "plan_tier"), "plan_tier", p.plan_tiers, p.plan_tier_labels)
 
 
 def revenue_by_industry_pivot(sub: DataFrame, account: DataFrame, p: Params) -> DataFrame:
-    long = revenue_by_industry_long(sub, account, p)
-    return pivot_fixed(long, "month_date", "industry", "rev_industry",
-                       p.industries, p.industry_labels)
+    return _pivot(_revenue_by(sub, account, p, "industry"), "industry", p.industries, p.industry_labels)
 
 
 def recurring_check(sub: DataFrame, p: Params) -> DataFrame:
@@ -151,7 +156,7 @@ def recurring_check(sub: DataFrame, p: Params) -> DataFrame:
 def _first_month_rows(sub: DataFrame, p: Params) -> DataFrame:
     # Non-trial subscriptions paired with the first spine month, started by then.
     m0 = F.lit(p.calendar_start)
-    return (sub.where(_not_trial() & (month_start("start_date") <= m0))
+    return (sub.where(_not_trial() & started_by(p.calendar_start))
             .withColumn("month_date", m0))
 
 

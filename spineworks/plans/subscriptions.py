@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from spineworks.functions import (
     days_between, last_counted_month, month_last_day, month_start, percent_half_up, whole_months)
-from spineworks.operators.spine import clip_range, expand_months, spread
+from spineworks.operators.spine import (
+    clip_range, expand_months, in_months, not_ended_before, spread, started_by)
 from spineworks.operators.trend import diff_previous
 from spineworks.plans.params import Params
 
@@ -17,17 +18,13 @@ def _trial():
     return F.col("is_trial") == True  # noqa: E712
 
 
-def _in_calendar(month, p: Params):
-    return (month >= F.lit(p.calendar_start)) & (month <= F.lit(p.calendar_end))
-
-
 def active_end_month_included(sub: DataFrame, p: Params) -> DataFrame:
     """Active per month, counting the month in which a subscription ends.
 
     Member of month m: ended on/after the window start or open, m >= the
     start month, m <= coalesce(end, horizon).
     """
-    members = sub.where((F.col("end_date") >= F.lit(p.window_start)) | F.col("end_date").isNull())
+    members = sub.where(not_ended_before(p.window_start) & started_by(p.calendar_end))
     return spread(members, month_start(F.col("start_date")),
                   month_start(F.coalesce(F.col("end_date"), F.lit(p.open_end_horizon))),
                   p.calendar_start, p.calendar_end,
@@ -37,7 +34,8 @@ def active_end_month_included(sub: DataFrame, p: Params) -> DataFrame:
 
 def _active_at_month_end(sub: DataFrame, p: Params) -> DataFrame:
     # Member of month m: started by m's last day, ended on/after it or open.
-    return spread(sub, month_start(F.col("start_date")), last_counted_month(F.col("end_date")),
+    members = sub.where(started_by(p.calendar_end) & not_ended_before(p.calendar_start))
+    return spread(members, month_start(F.col("start_date")), last_counted_month(F.col("end_date")),
                   p.calendar_start, p.calendar_end,
                   {"active_subscriptions": F.count("subscription_id"),
                    "trial_subs": F.count(F.when(_trial(), F.col("subscription_id")))})
@@ -54,8 +52,8 @@ def active_at_month_end(sub: DataFrame, p: Params) -> DataFrame:
 
 def _ended_in_calendar(sub: DataFrame, p: Params) -> DataFrame:
     # m <= end <= last day of m is an equality on the end's month: no range join.
-    return sub.withColumn("month_date", month_start(F.col("end_date"))).where(
-        _in_calendar(F.col("month_date"), p))
+    return sub.where(in_months("end_date", p.calendar_start, p.calendar_end)).withColumn(
+        "month_date", month_start(F.col("end_date")))
 
 
 def lost_per_month(sub: DataFrame, p: Params) -> DataFrame:
@@ -108,7 +106,7 @@ def lost_trend(sub: DataFrame, p: Params) -> DataFrame:
 
 def active_unbounded_vs_lost(sub: DataFrame, p: Params) -> DataFrame:
     """Earlier report: active counted from the start month with no end bound, next to lost."""
-    act = spread(sub, month_start(F.col("start_date")), None, p.calendar_start, p.calendar_end,
+    act = spread(sub.where(started_by(p.calendar_end)), month_start(F.col("start_date")), None, p.calendar_start, p.calendar_end,
                  {"active_subscriptions": F.count("subscription_id"),
                   "trial_subscriptions": F.count(F.when(_trial(), F.col("subscription_id")))})
     return act.join(lost_per_month(sub, p), "month_date").select(
@@ -118,7 +116,7 @@ def active_unbounded_vs_lost(sub: DataFrame, p: Params) -> DataFrame:
 
 def active_rows_closed_only(sub: DataFrame, p: Params) -> DataFrame:
     """(subscription, month) rows active at month end, ended subscriptions only."""
-    closed = sub.where(F.col("end_date").isNotNull() & F.col("start_date").isNotNull())
+    closed = sub.where((F.col("end_date") >= F.lit(p.calendar_start)) & started_by(p.calendar_end))
     lo, hi = clip_range(month_start(F.col("start_date")), last_counted_month(F.col("end_date")),
                         p.calendar_start, p.calendar_end)
     rows = expand_months(closed.withColumn("_lo", lo).withColumn("_hi", hi), "_lo", "_hi")
@@ -139,7 +137,7 @@ def open_sub_ids(sub: DataFrame, p: Params) -> DataFrame:
 
 
 def ended_in_month(sub: DataFrame, p: Params, trials_only: bool = False) -> DataFrame:
-    rows = sub.where(month_start(F.col("end_date")) == F.lit(p.ended_month))
+    rows = sub.where(in_months("end_date", p.ended_month, p.ended_month))
     if trials_only:
         rows = rows.where(_trial())
     return rows.select("subscription_id", "start_date", "end_date")

@@ -63,6 +63,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def input_bytes(spark: SparkSession, folder: str) -> int:
+    """Bytes of all files under ``folder``, in any store that Spark reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
 def scale_conf(total_cores: int, input_bytes: int, partition_bytes: int = 256 << 20) -> dict:
     """Settings sized for a cluster run: partitions of about ``partition_bytes``.
 

@@ -17,7 +17,3 @@ def month_spine(spark: SparkSession, start: dt.date, end: dt.date,
     """
     return spark.range(1).select(
         F.explode(F.sequence(F.lit(start), F.lit(end), F.expr("interval 1 month"))).alias(name))
-
-
-def months_in(start: dt.date, end: dt.date) -> int:
-    return (end.year - start.year) * 12 + end.month - start.month + 1

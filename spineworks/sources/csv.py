@@ -15,52 +15,71 @@ NA_TOKENS = ("#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
              "n/a", "nan", "null")
 
 
+def _scan(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool) -> DataFrame:
+    """The schema's columns as text, found by their names in the header.
+
+    Raises ValueError where the header lacks one of them, names one twice or
+    has others. Files of a folder must share one header.
+    """
+    raw = (spark.read.option("header", True).option("mode", "FAILFAST").option("enforceSchema", False)
+           .option("escape", '"').option("multiLine", multi_line).csv(path))
+    if sorted(raw.columns) != sorted(schema.names):
+        raise ValueError(f"{path}: header {raw.columns}, expected the columns {schema.names} in any order")
+    return raw.select(*schema.names)
+
+
+def _typed(f: T.StructField, tokens, timestamp_format: str | None, on_error: str):
+    """Column of ``f``'s type from its text; tokens become null."""
+    strict = on_error == "fail"
+    c = F.col(f.name)
+    c = F.when(c.isin(tokens), F.lit(None)).otherwise(c)
+    if isinstance(f.dataType, T.StringType):
+        return c
+    if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) and timestamp_format:
+        return (F.to_timestamp_ntz(c, F.lit(timestamp_format)).cast(f.dataType) if strict
+                else F.try_to_timestamp(c, F.lit(timestamp_format)).cast(f.dataType))
+    if isinstance(f.dataType, T.IntegralType):  # "3.0" is 3, "3.5" an error
+        number = c.cast("decimal(38,10)") if strict else c.try_cast("decimal(38,10)")
+        whole = F.when(number == F.floor(number), number)
+        if strict:
+            whole = F.coalesce(whole, F.when(number.isNotNull(), F.raise_error(
+                F.concat(F.lit(f"{f.name}: not a whole number: "), c)).cast("decimal(38,10)")))
+            return whole.cast(f.dataType)
+        return whole.try_cast(f.dataType)
+    if isinstance(f.dataType, T.BooleanType):
+        known = F.when(F.lower(c).isin("true", "1"), True).when(F.lower(c).isin("false", "0"), False)
+        return known.otherwise(c.cast("boolean") if strict else c.try_cast("boolean"))
+    return c.cast(f.dataType) if strict else c.try_cast(f.dataType)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType,
              na_tokens=NA_TOKENS, timestamp_format: str | None = None,
-             on_error: str = "fail") -> DataFrame:
-    """Read a headered CSV file with an explicit schema.
+             on_error: str = "fail", multi_line: bool = False) -> DataFrame:
+    """Read a headered CSV file with an explicit schema, matching columns by name.
 
     Every column is first read as text so that missing-value tokens can be
-    mapped to null before the typed cast. With ``on_error="fail"`` the cast
-    is ANSI-checked, so a malformed date fails the job instead of silently
+    mapped to null before the typed cast. A doubled quote inside quotes is
+    one quote. ``multi_line`` also allows newlines inside quotes; a file can
+    then not be split over tasks. With ``on_error="fail"`` the cast is
+    ANSI-checked, so a malformed date fails the job instead of silently
     becoming null; ``on_error="null"`` turns unparsable values into nulls
     (use ``quarantine`` to list the affected rows).
     """
-    text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
-    reader = spark.read.option("header", True).option("mode", "FAILFAST").schema(text_schema)
-    raw = reader.csv(path)
+    raw = _scan(spark, path, schema, multi_line)
     tokens = list(na_tokens)
-    cols = []
-    for f in schema:
-        c = F.col(f.name)
-        c = F.when(c.isin(tokens), F.lit(None)).otherwise(c)
-        if isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)) and timestamp_format:
-            c = (F.to_timestamp_ntz(c, F.lit(timestamp_format)) if on_error == "fail"
-                 else F.try_to_timestamp(c, F.lit(timestamp_format)).cast(f.dataType))
-        elif isinstance(f.dataType, T.BooleanType):
-            c = F.when(F.lower(c).isin("true", "1"), True).when(
-                F.lower(c).isin("false", "0"), False).otherwise(
-                F.when(c.isNull(), None).otherwise(c.cast("boolean")))
-        if not isinstance(f.dataType, T.StringType):
-            c = c.cast(f.dataType) if on_error == "fail" else c.try_cast(f.dataType)
-        cols.append(c.alias(f.name))
-    return raw.select(*cols)
+    return raw.select(*[_typed(f, tokens, timestamp_format, on_error).alias(f.name) for f in schema])
 
 
-def quarantine(spark: SparkSession, path: str, schema: T.StructType,
-               na_tokens=NA_TOKENS) -> DataFrame:
+def quarantine(spark: SparkSession, path: str, schema: T.StructType, na_tokens=NA_TOKENS,
+               timestamp_format: str | None = None, multi_line: bool = False) -> DataFrame:
     """Rows of a CSV file holding a value that does not parse as its column's type."""
-    text_schema = T.StructType([T.StructField(f.name, T.StringType(), True) for f in schema])
-    raw = spark.read.option("header", True).schema(text_schema).csv(path)
     tokens = list(na_tokens)
-    bad = None
+    bad = F.lit(False)
     for f in schema:
-        if isinstance(f.dataType, T.StringType):
-            continue
-        c = F.col(f.name)
-        broken = c.isNotNull() & ~c.isin(tokens) & c.try_cast(f.dataType).isNull()
-        bad = broken if bad is None else bad | broken
-    return raw if bad is None else raw.where(bad)
+        if not isinstance(f.dataType, T.StringType):
+            c = F.col(f.name)
+            bad = bad | (c.isNotNull() & ~c.isin(tokens) & _typed(f, tokens, timestamp_format, "null").isNull())
+    return _scan(spark, path, schema, multi_line).where(bad)
 
 
 def read_entity_csv(spark: SparkSession, name: str, path: str, **kw) -> DataFrame:

@@ -54,3 +54,14 @@ def test_ratio_is_exact_for_large_counts(spark):
     df = spark.createDataFrame(pairs, "a long, b long").select("a", "b", percent_half_up("a", "b").alias("p"))
     for r in df.collect():
         assert r.p == (None if r.b == 0 else (r.a * 20000 + r.b) // (2 * r.b) / 100)
+
+
+def test_averages_and_sums_round_once(spark):
+    from spineworks.functions import exact_avg, exact_sum
+    df = spark.createDataFrame([(0.005,), (0.015,), (0.004,), (None,)], "x double")
+    r = df.agg(exact_sum("x", 3).alias("s"), exact_avg("x").alias("a"), avg_half_up("x").alias("h"),
+               avg_half_up(-F.col("x")).alias("n")).first()
+    assert (r.s, r.a, r.h, r.n) == (0.024, 0.008, 0.01, -0.01)
+    big = spark.createDataFrame([(10 ** 15 + 1,), (10 ** 15 + 2,)], "x long")
+    assert big.agg(avg_half_up("x").alias("h")).first()["h"] == 10 ** 15 + 1.5
+    assert df.where("x > 1").agg(avg_half_up("x").alias("h")).first()["h"] is None

@@ -1,6 +1,13 @@
 """Physical-plan checks: the shapes that decide whether a query scales."""
 
+import re
+import tempfile
+
 import __spark_entry__ as E
+from spineworks.plans.params import FIXTURE_PARAMS
+from spineworks.plans.registry import FINAL_ORDER, QUERIES
+from spineworks.plans.tables import Tables
+from spineworks.plans.warehouse import WarehouseTables, materialize
 
 SF = "/root/testdata/sf0.001"
 Q = E.queries()
@@ -43,14 +50,46 @@ def test_share_of_total_has_no_global_window(spark):
         assert "Window" not in plan, name
 
 
-def test_filters_reach_the_scan(spark):
-    df = Q["tickets_in_range"](spark, SF)
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters" in plan or "pushedFilters" in plan.lower()
-    df = Q["count_open_subs"](spark, SF)
+DATE_BOUNDS = {  # column bounds that the scan of the written subscriptions must get
+    "lost_per_month": ("GreaterThanOrEqual(end_date,1997-01-01)", "LessThan(end_date,1998-01-01)"),
+    "lost_rows": ("GreaterThanOrEqual(end_date,1997-01-01)", "LessThan(end_date,1998-01-01)"),
+    "lost_trend": ("GreaterThanOrEqual(end_date,1997-01-01)", "LessThan(end_date,1998-01-01)"),
+    "ended_in_month": ("GreaterThanOrEqual(end_date,", "LessThan(end_date,"),
+    "active_at_month_end": ("LessThan(start_date,1998-01-01)", "GreaterThanOrEqual(end_date,1997-01-01)"),
+    "active_unbounded_vs_lost": ("LessThan(start_date,1998-01-01)",),
+    "accrued_revenue": ("LessThan(start_date,1998-01-01)", "GreaterThanOrEqual(end_date,1997-01-01)"),
+    "recurring_rows_no_end_filter": ("LessThan(start_date,1997-02-01)",),
+}
+
+
+def _scans(spark, df):
+    """[(pushed filters, read schema)] of all file scans."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     plan = df._jdf.queryExecution().executedPlan().toString()
-    # Column pruning: the unused price/priority columns are not read.
-    assert "o_orderpriority" not in plan.split("ReadSchema")[1] if "ReadSchema" in plan else True
+    return re.findall(r"PushedFilters: \[(.*?)\], ReadSchema: (struct<.*?>)(?:\n|$)", plan)
+
+
+def test_date_bounds_and_columns_reach_the_scan(spark):
+    target = tempfile.mkdtemp(prefix="spineworks-plans-")
+    materialize(Tables(spark, SF), target)
+    tables = WarehouseTables(spark, target)
+    for name, bounds in DATE_BOUNDS.items():
+        pushed = [f for f, _ in _scans(spark, QUERIES[name](tables, FIXTURE_PARAMS))]
+        assert any(all(b in f for b in bounds) for f in pushed), (name, pushed)
+    (_, schema), = _scans(spark, tables.dedup_subscription.where("end_date is null").groupBy().count())
+    assert schema == "struct<end_date:date>"
+    (_, schema), = _scans(spark, QUERIES["lost_per_month"](tables, FIXTURE_PARAMS))
+    assert "seats" not in schema and "plan_tier" not in schema
+
+
+def test_final_row_order(spark):
+    tables = Tables(spark, SF)
+    for name, keys in FINAL_ORDER.items():
+        rows = QUERIES[name](tables, FIXTURE_PARAMS).collect()
+        rank = lambda r, k: ((r[k.lstrip("-")] is None), 0 if r[k.lstrip("-")] is None else (
+            -r[k[1:]] if k[0] == "-" else r[k]))
+        at = [[rank(r, k) for k in keys] for r in rows]
+        assert at == sorted(at), name
 
 
 def test_dedupe_and_profiles_use_no_window(spark):

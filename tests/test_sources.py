@@ -100,3 +100,31 @@ def test_scale_conf_sizes_partitions():
     conf = scale_conf(total_cores=8000, input_bytes=100 << 40)
     assert int(conf["spark.sql.shuffle.partitions"]) == (100 << 40) // (256 << 20)
     assert scale_conf(64, 1 << 30)["spark.sql.shuffle.partitions"] == "128"
+
+
+def _csv(text):
+    path = os.path.join(tempfile.mkdtemp(prefix="spineworks-csv-"), "x.csv")
+    with open(path, "w", newline="") as f:
+        f.write(text)
+    return path
+
+
+ROW = T.StructType([T.StructField("id", T.LongType()), T.StructField("txt", T.StringType()),
+                    T.StructField("n", T.LongType())])
+
+
+def test_csv_columns_are_found_by_name(spark):
+    import pytest
+    assert [tuple(r) for r in read_csv(spark, _csv("txt,id,n\nhello,1,3.0\n"), ROW).collect()] == [(1, "hello", 3)]
+    for header in ("txt,id\nhello,1\n", "txt,id,n,more\nhello,1,2,3\n"):
+        with pytest.raises(ValueError):
+            read_csv(spark, _csv(header), ROW)
+    with pytest.raises(Exception):
+        read_csv(spark, _csv("id,txt,n\n1,a,3.5\n"), ROW).collect()
+    assert read_csv(spark, _csv("id,txt,n\n1,a,3.5\n"), ROW, on_error="null").first()["n"] is None
+
+
+def test_csv_quotes_commas_and_newlines(spark):
+    text = 'id,txt,n\n1,"say ""hi"", ok",2\n2,"two\nlines",\n'
+    got = [tuple(r) for r in read_csv(spark, _csv(text), ROW, multi_line=True).collect()]
+    assert got == [(1, 'say "hi", ok', 2), (2, "two\nlines", None)]
