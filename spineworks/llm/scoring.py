@@ -2,94 +2,160 @@
 
 Two bigram models, of the target documents and of all documents, share one
 vocabulary: the token ids of a public tokenizer. Both smooth alike: bigram
-counts are interpolated with add-one unigrams. Bigrams are counted in a
-fixed number of hashed cells, so a model's size does not depend on the
-corpus, while its counts come from all of it.
+counts are interpolated with add-one unigrams. Every token and every bigram
+has a cell of its own, so counts are exact at any size. They are written as
+a table; blocks of documents fetch the counts of the cells they hold.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow, stage
 from .tokens import encoded_rows
 
-#: Cells of the hashed bigram counts.
-CELLS = 1 << 20
 #: Weight of the bigram estimate.
 BIGRAM_WEIGHT = 0.6
 VOCABULARY = 1 << 16
+#: Size of the default vocabulary, and its bigrams' cells.
+SIZE = 50_257
+CELLS = SIZE * SIZE
+#: Tokens after which a block of documents ends, tokens scored at once, and rows of one Arrow batch.
+BLOCK_TOKENS = 1 << 21
+SLICE_TOKENS = 1 << 18
+BATCH_ROWS = 1 << 16
 
 
-def _cells(ids: np.ndarray) -> np.ndarray:
-    pair = ids[:-1].astype(np.uint64) << np.uint64(16) | ids[1:]
-    return ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
+def _cells(ids: np.ndarray, size: int = SIZE) -> np.ndarray:
+    """One number for each pair of neighbours, different pairs having different ones."""
+    return ids[:-1].astype(np.int64) * size + ids[1:]
 
 
-def count(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """(cell, n) over all documents: token counts at 0..65535, hashed bigram counts after them."""
-    def run(batches):
-        total = np.zeros(VOCABULARY + CELLS, np.int64)
-        for _, tokens in encoded_rows(batches, vocabulary, end_id):
-            ids = np.frombuffer(b"".join(tokens), "<u2")
-            total[:VOCABULARY] += np.bincount(ids, minlength=VOCABULARY)
-            cells = _cells(ids)[ids[:-1] != end_id]  # no bigram crosses documents
-            total[VOCABULARY:] += np.bincount(cells, minlength=CELLS)
-        cell = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(total[cell])], ["cell", "n"])
-
-    return map_arrow(docs, run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
+def _inside(ends: np.ndarray) -> np.ndarray:
+    """Whether two neighbours stand in one document; documents end before ``ends``."""
+    same = np.ones(max(int(ends[-1]) - 1, 0), bool)
+    same[ends[:-1] - 1] = False
+    return same
 
-def _table(counts: DataFrame) -> np.ndarray:
-    """Counts as an array of fixed size (VOCABULARY + CELLS, 8.9 MB) on the driver."""
-    found = counts.toArrow()
-    out = np.zeros(VOCABULARY + CELLS)
-    out[found.column("cell").to_numpy()] = found.column("n").to_numpy()
-    return out
 
+def _encode(vocabulary: str, end_id: int, block_tokens: int):
+    """(block, model, doc_id, tokens) of rows (doc_id, text, model); a block holds rows of one task only."""
+    def run(batches):
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            at = 0
+            for ids, tokens in encoded_rows([batch], vocabulary, end_id):
+                model = batch.column(batch.schema.get_field_index("model")).slice(at, len(tokens))
+                at += len(tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(tokens), block)), model, ids,
+                                                  pa.array(tokens, pa.binary())], ["block", "model", "doc_id", "tokens"])
+                held += sum(map(len, tokens)) // 2
+                if held >= block_tokens:
+                    block, held = block + 1, 0
+    return run
+
+
+def _count(size: int, block_tokens: int):
+    """(cell, block, background, target) of rows (block, model, tokens): tokens at 0..65535, bigrams after them."""
+    def counted(block, model, raw):
+        ids = np.frombuffer(b"".join(raw), "<u2")
+        single = np.bincount(ids)
+        same = _inside(np.cumsum([len(t) // 2 for t in raw]))
+        pairs, n = np.unique(_cells(ids, size)[same], return_counts=True)
+        cell = np.concatenate([np.flatnonzero(single), VOCABULARY + pairs])
+        n = np.concatenate([single[single > 0], n])
+        for i in range(0, len(cell), BATCH_ROWS):
+            part, none = n[i:i + BATCH_ROWS], np.zeros(len(n[i:i + BATCH_ROWS]), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cell[i:i + BATCH_ROWS]), pa.array(np.full(len(part), block)),
+                 pa.array(none if model else part), pa.array(part if model else none)],
+                ["cell", "block", "background", "target"])
 
-def losses(ids: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
-    """-log p of each token after the one before it (the first by its unigram)."""
-    uni = table[:VOCABULARY]
-    single = (uni[ids] + 1.0) / (uni.sum(dtype=float) + size)
-    before, own = uni[ids[:-1]], uni[ids[1:]]
-    pair = np.minimum(table[VOCABULARY:][_cells(ids)], np.minimum(before, own))
+    def run(batches):
+        own, raw, held = None, [], 0
+        for batch in batches:
+            for block, model, tokens in zip(*[c.to_pylist() for c in batch.columns]):
+                if raw and (own != (block, model) or held >= 2 * block_tokens):
+                    yield from counted(*own, raw)
+                    raw, held = [], 0
+                own, held = (block, model), held + len(tokens)
+                raw.append(tokens)
+        if raw:
+            yield from counted(*own, raw)
+    return run
+
+
+def _losses(own: np.ndarray, pair: np.ndarray, total: float, size: int, starts: np.ndarray) -> np.ndarray:
+    """-log p of each token, from the counts of the tokens and of each with the one before it."""
+    single = (own + 1.0) / (total + size)
+    before = own[:-1]
     p = single.copy()
     p[1:] = np.where(before > 0, BIGRAM_WEIGHT * pair / np.maximum(before, 1) + (1 - BIGRAM_WEIGHT) * single[1:], single[1:])
+    p[starts] = single[starts]  # a document's first token has none before it
     return -np.log(p)
 
 
-def score(docs: DataFrame, target: DataFrame, vocabulary: str, end_id: int = 50_256, size: int = 50_257,
-          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def losses(ids: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
+    """-log p of each token of a document, from a table of all cells' counts."""
+    return _losses(table[ids], table[VOCABULARY + _cells(ids, size)], table[:VOCABULARY].sum(dtype=float), size, np.array([0]))
+
+
+def _score(size: int, totals: tuple[int, int]):
+    def run(rows: pa.Table, counts: pa.Table) -> pa.Table:
+        cell, at = np.unique(counts.column("cell").to_numpy(), return_index=True)
+        table = [counts.column(c).to_numpy()[at].astype(float) for c in ("target", "background")]
+        tokens = rows.column("tokens").to_pylist()
+        n = np.array([len(t) // 2 for t in tokens])
+        means, row = [[], []], 0
+        ends = np.cumsum(n)
+        while row < len(n):
+            stop = max(row + 1, int(np.searchsorted(ends, ends[row] - n[row] + SLICE_TOKENS, "right")))
+            ids = np.frombuffer(b"".join(tokens[row:stop]), "<u2")
+            starts = np.cumsum(n[row:stop]) - n[row:stop]
+            own = np.searchsorted(cell, ids.astype(np.int64))
+            pair = np.zeros(max(len(ids) - 1, 0), np.int64)
+            same = _inside(np.cumsum(n[row:stop]))
+            pair[same] = np.searchsorted(cell, VOCABULARY + _cells(ids, size)[same])  # the others are not used
+            for mean, known, total in zip(means, table, totals):
+                loss = _losses(known[own], known[pair], total, size, starts)
+                mean.append(np.add.reduceat(loss, starts) / n[row:stop])
+            row = stop
+        a, b = (np.concatenate(m) if m else np.zeros(0) for m in means)
+        return pa.table([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(a - b)],
+                        ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
+    return run
+
+
+def score(docs: DataFrame, target: DataFrame, vocabulary: str, end_id: int = 50_256, size: int = SIZE,
+          id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(doc_id, n_tokens, target_loss, background_loss, difference), one for each row of ``docs``.
 
     Losses are means over a document's tokens, the end included; difference
     is target_loss - background_loss, lower being nearer to the target.
     Null and empty texts are the end token alone. ``target`` is a table of
     the same columns; where it is empty its model is uniform.
-    """
-    pick = lambda t: t.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs, target = pick(docs), pick(target)
-    models = stage(count(docs, vocabulary, end_id).withColumn("model", F.lit(0)).unionByName(
-        count(target, vocabulary, end_id).withColumn("model", F.lit(1))), "counts")
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast([_table(models.where(F.col("model") == m)).astype(np.float32) for m in (1, 0)])
 
-    def run(batches):
-        near, wide = shared.value
-        for ids, tokens in encoded_rows(batches, vocabulary, end_id):
-            n = np.array([len(t) // 2 for t in tokens])
-            rows = [np.frombuffer(t, "<u2") for t in tokens]
-            a = np.array([losses(r, near, size).mean() for r in rows], float)
-            b = np.array([losses(r, wide, size).mean() for r in rows], float)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(a), pa.array(b), pa.array(a - b)],
-                                             ["doc_id", "n_tokens", "target_loss", "background_loss", "difference"])
-
-    return map_arrow(docs, run, "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
+    Each text is encoded once and written. Its block's cells are summed
+    before any shuffle, so a hot bigram has one row for each block, and only
+    the two models' numbers of tokens go through the driver.
+    """
+    pick = lambda t, model: t.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                                     F.lit(model).alias("model"))
+    tokens = stage(map_arrow(pick(docs, 0).unionByName(pick(target, 1)), _encode(vocabulary, end_id, block_tokens),
+                             "block long, model int, doc_id long, tokens binary"), "tokens")
+    local = stage(map_arrow(tokens.select("block", "model", "tokens"), _count(size, block_tokens),
+                            "cell long, block long, background long, target long"), "local-counts")
+    counts = stage(local.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "counts")
+    total = counts.where(F.col("cell") < VOCABULARY).agg(F.sum("target"), F.sum("background")).first()
+    wanted = local.where("background > 0").select("cell", "block").join(counts, "cell")
+    return tokens.where("model = 0").select("block", "doc_id", "tokens").groupBy("block").cogroup(
+        wanted.groupBy("block")).applyInArrow(
+        _score(size, tuple(t or 0 for t in total)),
+        "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -133,6 +133,33 @@ def test_op8(spark, edges):
     assert scoring.score(edges.limit(0), edges, path).count() == 0
 
 
+def test_op8_counts_every_bigram_exactly(spark):
+    from collections import Counter
+    from tokenizers import Tokenizer
+    path = tokenizer_path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    docs = duckdb.sql(f"select doc_id, text from '{SMALL}/documents.parquet'").fetchall()
+    docs.append((3_000_000, "one text <|endoftext|> and more of it"))
+    ids = {d: [*lib.encode(t or "", add_special_tokens=False).ids, 50256] for d, t in docs}
+
+    def model(rows):
+        return Counter(t for x in rows for t in x), Counter(p for x in rows for p in zip(x, x[1:]))
+
+    def loss(x, uni, pairs):
+        single = [(uni[t] + 1) / (sum(uni.values()) + 50_257) for t in x]
+        p = single[:1] + [0.6 * pairs[a, b] / uni[a] + 0.4 * s if uni[a] else s for a, b, s in zip(x, x[1:], single[1:])]
+        return -np.mean(np.log(p))
+
+    wide, near = model(ids.values()), model([x for d, x in ids.items() if d % 3 == 0])
+    small = spark.createDataFrame(docs, "doc_id long, text string")
+    for size in (scoring.BLOCK_TOKENS, 20_000):  # one block, many blocks
+        got = scoring.score(small, small.where("doc_id % 3 = 0"), path, block_tokens=size).collect()
+        assert sorted(r.doc_id for r in got) == sorted(ids)
+        for r in [x for x in got if x.doc_id % 4 == 0]:
+            assert r.background_loss == pytest.approx(loss(ids[r.doc_id], *wide), rel=1e-9)
+            assert r.target_loss == pytest.approx(loss(ids[r.doc_id], *near), rel=1e-9)
+
+
 def test_op9(spark, edges):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
