@@ -3,14 +3,19 @@
 A gear rolling hash runs over the bytes of a text. A chunk ends at the end
 of a word where the top bits of the hash are zero, so cuts depend on the 32
 bytes before them alone and an insertion moves only the cuts near it.
-Chunks are compared by 128-bit digest; the first document (by id) keeps a
-chunk, later occurrences are repeats. Runs of repeated chunks with
-``min_words`` words or more are removed; shorter ones are common phrases.
+Chunks are short, so many are known from unrelated texts. What is compared
+are windows: runs of neighbouring chunks that reach ``min_words`` words, by
+128-bit digest. The first document (by id) keeps a window, later occurrences
+are removed. So what goes stood, chunk next to chunk and ``min_words`` words
+long or longer, in one earlier place; shorter repeats are common phrases.
+The same holds for copies of one chunk in a row that the text itself has
+before. Other single chunks only trim the edges: repeated ones next to a
+removed run go with it, fewer than ``min_words`` words on either side.
 """
 
 from __future__ import annotations
 
-import struct
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -56,19 +61,44 @@ def cut(data: np.ndarray, offsets: np.ndarray, cut_bits: int = CUT_BITS):
     return starts[begin], ends[stop], stop - begin + 1, np.searchsorted(stop, first)
 
 
-def _chunk_rows(cut_bits: int):
-    """(hi, lo, key, text_hash) of each row's distinct chunks."""
+def windows(words: np.ndarray, first: np.ndarray, min_words: int = MIN_WORDS):
+    """(first chunk, chunk after the last, row) of all windows, by place.
+
+    From each chunk on the shortest run of ``min_words`` words, and up to
+    each chunk the shortest: together they cover every run that has as many.
+    """
+    total = np.concatenate([[0], np.cumsum(words)])
+    row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    at = np.arange(len(words))
+    end = np.searchsorted(total, total[:-1] + min_words, "left")
+    begin = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    on, up = end <= first[1:][row], begin >= first[:-1][row]
+    span = np.unique(np.concatenate([at[on] * len(total) + end[on], begin[up] * len(total) + at[up] + 1]))
+    begin, end = span // len(total), span % len(total)
+    return begin, end, row[begin]
+
+
+def _digests(raw: bytes, a: np.ndarray, b: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    """(digests of the chunks, digests of the windows' chunk digests)."""
+    digest = xxhash.xxh3_128_digest
+    chunks = [digest(raw[i:j]) for i, j in zip(a.tolist(), b.tolist())]
+    joined = b"".join(chunks)
+    return chunks, [digest(joined[i:j]) for i, j in zip((16 * begin).tolist(), (16 * end).tolist())]
+
+
+def _digest_rows(cut_bits: int, min_words: int):
+    """(hi, lo, key, text_hash) of each row's distinct chunks and windows."""
     def run(batches):
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
             for rows, data, offsets in text_slices(batch, "text"):
-                a, b, _, first = cut(data, offsets, cut_bits)
-                raw = data.tobytes()
-                if not len(a):
+                a, b, words, first = cut(data, offsets, cut_bits)
+                begin, end, row = windows(words, first, min_words)
+                if not len(begin):  # nothing that could be removed
                     continue
-                d = np.frombuffer(b"".join([digest(raw[i:j]) for i, j in zip(a.tolist(), b.tolist())]), _DIGEST)
-                key, text_hash = (np.repeat(rows.column(c).to_numpy(), np.diff(first)) for c in (0, 1))
-                row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+                chunks, spans = _digests(data.tobytes(), a, b, begin, end)
+                d = np.frombuffer(b"".join(chunks + spans), _DIGEST)
+                row = np.concatenate([np.repeat(np.arange(len(first) - 1), np.diff(first)), row])
+                key, text_hash = (rows.column(c).to_numpy()[row] for c in (0, 1))
                 hi, lo = d["hi"].astype(np.int64), d["lo"].astype(np.int64)
                 order = np.lexsort((lo, hi, row))
                 same = np.ones(len(order), bool)
@@ -79,35 +109,69 @@ def _chunk_rows(cut_bits: int):
     return run
 
 
+def _known(repeats) -> set[bytes]:
+    """Digests of a list of (hi, lo)."""
+    d = np.empty(len(repeats), _DIGEST)
+    d["hi"], d["lo"] = repeats.field("hi").to_numpy(), repeats.field("lo").to_numpy()
+    raw = d.tobytes()
+    return {raw[i:i + 16] for i in range(0, len(raw), 16)}
+
+
+def _stretches(chunks: list[bytes]) -> list[tuple[int, int]]:
+    """(begin, end) of the runs of two or more equal chunks."""
+    edge = np.flatnonzero(np.diff([0, *map(eq, chunks, chunks[1:]), 0]))
+    return list(zip(edge[::2].tolist(), (edge[1::2] + 1).tolist()))
+
+
+def _trim(gone: np.ndarray, again: np.ndarray, words: np.ndarray, min_words: int) -> np.ndarray:
+    """``gone`` with the repeated chunks at the edges of its runs."""
+    out = gone.copy()
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+    for at, step in (*[(x - 1, -1) for x in edge[::2]], *[(y, 1) for y in edge[1::2]]):
+        room = min_words
+        while 0 <= at < len(gone) and again[at] and not gone[at] and words[at] < room:
+            out[at], room, at = True, room - words[at], at + step
+    return out
+
+
 def _rewrite(cut_bits: int, min_words: int):
     def run(batches):
-        digest = xxhash.xxh3_128_digest
         for batch in batches:
             for rows, data, offsets in text_slices(batch, "text", 1 << 20):
                 a, b, words, first = cut(data, offsets, cut_bits)
+                begin, end, row = windows(words, first, min_words)
                 raw, o = data.tobytes(), offsets.tolist()
+                chunks, spans = _digests(raw, a, b, begin, end)
+                place = np.searchsorted(row, np.arange(rows.num_rows + 1)).tolist()
                 repeated = rows.column(rows.schema.get_field_index("repeats"))
                 null = rows.column(rows.schema.get_field_index("text"))
                 out = []
                 for d in range(rows.num_rows):
                     i, j = first[d], first[d + 1]
-                    known = set(zip(repeated[d].values.field("hi").to_pylist(), repeated[d].values.field("lo").to_pylist())
-                                ) if repeated[d].is_valid else set()
-                    found = [struct.unpack(">qq", digest(raw[x:y])) for x, y in zip(a[i:j].tolist(), b[i:j].tolist())]
-                    seen, again = set(), np.zeros(j - i, bool)
-                    for c, key in enumerate(found):
-                        again[c] = key in known or key in seen
-                        seen.add(key)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))
-                    kept, at, lost, removed = [], o[d], 0, 0
+                    seen = _known(repeated[d].values) if repeated[d].is_valid else set()
+                    step, again = np.zeros(j - i + 1, np.int64), np.zeros(j - i, bool)
+                    for w in range(place[d], place[d + 1]):
+                        if spans[w] in seen:
+                            step[begin[w] - i] += 1
+                            step[end[w] - i] -= 1
+                        else:
+                            seen.add(spans[w])
+                    gone, own = np.cumsum(step[:-1]) > 0, chunks[i:j]
+                    for c, chunk in enumerate(own):
+                        again[c] = chunk in seen
+                        seen.add(chunk)
+                    for x, y in _stretches(own):
+                        x += own.index(own[x]) == x
+                        gone[x:y] |= words[i + x:i + y].sum() >= min_words
+                    gone = _trim(gone, again, words[i:j], min_words)
+                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
+                    kept, at, lost = [], o[d], 0
                     for x, y in zip(edge[::2] + i, edge[1::2] + i):
-                        n = int(words[x:y].sum())
-                        if n >= min_words:
-                            kept.append(raw[at:a[x]])
-                            at, lost, removed = b[y - 1], lost + n, removed + int(y - x)
+                        kept.append(raw[at:a[x]])
+                        at, lost = b[y - 1], lost + int(words[x:y].sum())
                     kept.append(raw[at:o[d + 1]])
                     text = b"".join(kept).decode("utf-8", "replace") if null[d].is_valid else None
-                    out.append((text, int(j - i), int(again.sum()), removed, int(words[i:j].sum()), lost))
+                    out.append((text, int(j - i), int(again.sum()), int(gone.sum()), int(words[i:j].sum()), lost))
                 kinds = [pa.string(), *[pa.int64()] * 5]
                 at = [rows.schema.get_field_index(c) for c in rows.schema.names if c not in ("text", "repeats")]
                 yield pa.RecordBatch.from_arrays(
@@ -121,25 +185,25 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                      cut_bits: int = CUT_BITS, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, carried, text, chunks, repeated_chunks, removed_chunks, words, removed_words), one for each row.
 
-    text is what stays. A chunk is a repeat if a smaller doc_id has it, or
-    the text itself has it before. Rows with one doc_id count as one
-    document and do not remove each other's chunks; null ids come last and
-    count as one document. A null text stays null; empty texts have no
+    text is what stays. A window or a chunk is a repeat if a smaller doc_id
+    has it, or the text itself has it before. Rows with one doc_id count as
+    one document and do not remove each other's chunks; null ids come last
+    and count as one document. A null text stays null; empty texts have no
     chunks. carried is a struct of the columns named in ``keep``, absent
     without any. Empty input gives an empty result.
 
-    Only digests are shuffled, one row for each distinct chunk of a text;
+    Only digests are shuffled, one row for each distinct chunk or window of a text;
     the smallest id of a digest is combined on the map side. A hot digest
     meets its documents in a plain join, which AQE can split.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("key")
     text = F.col(text_col).cast("string")
     row = [key, F.xxhash64(text).alias("text_hash")]
-    chunks = stage(map_arrow(docs.select(*row, text.alias("text")), _chunk_rows(cut_bits),
-                             "hi long, lo long, key long, text_hash long"), "chunks")
-    firsts = stage(chunks.groupBy("hi", "lo").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    found = stage(map_arrow(docs.select(*row, text.alias("text")), _digest_rows(cut_bits, min_words),
+                            "hi long, lo long, key long, text_hash long"), "digests")
+    firsts = stage(found.groupBy("hi", "lo").agg(F.min("key").alias("first"), F.max("key").alias("last"))
                    .where("first < last").drop("last"), "firsts")
-    repeats = stage(chunks.join(firsts, ["hi", "lo"]).where("key > first").groupBy("key", "text_hash")
+    repeats = stage(found.join(firsts, ["hi", "lo"]).where("key > first").groupBy("key", "text_hash")
                     .agg(F.collect_set(F.struct("hi", "lo")).alias("repeats")), "repeats")
     carried = [F.struct(*keep).alias("carried")] if keep else []
     rows = docs.select(*row, F.col(id_col).cast("long").alias("doc_id"), *carried, text.alias("text"))

@@ -74,6 +74,33 @@ def test_op2_against_brute_force(spark):
     assert any(want.values())
 
 
+def test_op2_keeps_runs_pieced_together_from_many_documents(spark):
+    rng = random.Random(5)
+    text = _prose(rng, 300)
+    raw = text.encode()
+    a, b, _, _ = chunks.cut(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    rows = []
+    for i in range(len(a) - 3):  # four chunks of the text and a stranger: less than 16 words together
+        if len(raw[a[i]:b[i + 3]].split()) < chunks.MIN_WORDS:
+            rows.append((len(rows), raw[a[i]:b[i + 3]].decode() + " " + _prose(rng, 30)))
+    docs = spark.createDataFrame([*rows, (1_000_000, text), (2_000_000, _prose(rng, 40) + " " + text)], "doc_id long, text string")
+    got = {r.doc_id: r for r in chunks.dedup_substrings(docs).collect()}
+    assert got[1_000_000].text == text and got[1_000_000].removed_words == 0
+    assert got[2_000_000].removed_words >= 280
+
+
+def test_op2_windows_cover_every_long_run():
+    rng = np.random.default_rng(1)
+    words, first = rng.integers(1, 9, 60), np.array([0, 25, 25, 60])
+    begin, end, row = chunks.windows(words, first, 16)
+    for d in range(3):
+        for x in range(first[d], first[d + 1]):
+            for y in range(x + 1, first[d + 1] + 1):
+                inside = (begin >= x) & (end <= y) & (row == d)
+                covered = {c for i, j in zip(begin[inside], end[inside]) for c in range(i, j)}
+                assert covered == (set(range(x, y)) if words[x:y].sum() >= 16 else set())
+
+
 def test_op2_edges(spark, edges):
     got = chunks.dedup_substrings(edges, keep=("key", "words")).collect()
     assert len(got) == 8 and all(r.carried.key == 1 for r in got)
