@@ -1,34 +1,43 @@
 """Quality classifier by co-training of two views.
 
 View one sees a document's content (byte shares, repetition), view two its
-metadata (language, source, length). Each starts from labelled rows. Round
-after round each marks the unlabelled rows that it is most sure of, and the
-other learns from those marks. Both are then calibrated on labelled rows
-that neither was fitted on, and their log odds are added. The fit uses a
-bounded sample; the models (a few hundred numbers) score every document.
+metadata (language, source, length). Each starts from a bounded sample of
+labelled rows. Round after round each marks those of all unlabelled rows that
+it is sure of, and the other learns from those marks. Both are then
+calibrated on labelled rows that neither was fitted on, and their log odds
+are added. Unlabelled rows stay on the executors: the metadata view learns
+from counts by language, source, length and mark, the content view from sums
+for its Newton steps. All marks of one source and class weigh as GROUP rows
+at most, so a large source does not drown a small one.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, text_slices, word_spans
+from .common import map_arrow, stage, text_slices, word_spans
 
-#: Labelled documents and unlabelled documents that the fit may use (those of smallest hashed id).
+#: Labelled documents that the fit may use (those of smallest hashed id).
 LABELLED = 12_000
-POOL = 4_000
 ROUNDS = 4
-#: A mark needs this probability; a view gives at most this share of the pool in a round, half of each class.
+#: Newton steps of the content view in a round.
+STEPS = 3
+#: A mark needs this probability.
 SURE = 0.95
-SHARE = 0.1
+#: Weight, in rows, that the marks of one source and class have at most.
+GROUP = 200
+#: Penalties of the views' weights.
+CONTENT_RIDGE, METADATA_RIDGE = 0.05, 2.0
+#: Partial sums that reach the driver.
+SUMS = 16
 #: Every third labelled row calibrates.
 HOLD_OUT = 3
-LANGS, SOURCES, LENGTHS = 32, 128, 24
+LENGTHS = 24
+FEATURES = 262
 _MIX = np.random.default_rng(9).integers(1, 1 << 62, 256, dtype=np.int64)
 
 
@@ -58,16 +67,41 @@ def content_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.hstack([np.sqrt(share), extra])
 
 
-def metadata_features(lang: list, source: list, n_chars: list) -> np.ndarray:
-    """One-hot language, source (both hashed) and logarithmic length; nulls have their own cells."""
-    n = len(lang)
-    out = np.zeros((n, LANGS + SOURCES + LENGTHS))
-    slot = lambda x, size: 0 if x is None else 1 + zlib.crc32(x.encode()) % (size - 1)
-    at = np.arange(n)
-    out[at, [slot(x, LANGS) for x in lang]] = 1
-    out[at, [LANGS + slot(x, SOURCES) for x in source]] = 1
-    out[at, [LANGS + SOURCES + (0 if x is None or x < 0 else min(LENGTHS - 1, 1 + int(x).bit_length())) for x in n_chars]] = 1
-    return out
+def length_class(n_chars: int | None) -> int:
+    """Logarithmic length; nulls and negative ones have their own class."""
+    return 0 if n_chars is None or n_chars < 0 else min(LENGTHS - 1, 1 + int(n_chars).bit_length())
+
+
+def metadata_z(columns: list[list], model) -> np.ndarray:
+    """Log odds by language, source and length class; values that the model has not met weigh nothing."""
+    shift, tables = model
+    return shift + sum(np.array([t.get(v, 0.0) for v in c], float) for c, t in zip(columns, tables))
+
+
+def fit_metadata(columns: list[list], y: np.ndarray, weight: np.ndarray, sweeps: int = 60):
+    """(shift, weights of each column's values) of the ridge-penalised loss, one column after another.
+
+    A column's values exclude each other, so its Hessian is diagonal and the
+    fit is linear in the number of values.
+    """
+    names = [{v: i for i, v in enumerate(dict.fromkeys(c))} for c in columns]
+    codes = [np.array([n[v] for v in c], np.int64) for c, n in zip(columns, names)]
+    names, codes = [{None: 0}, *names], [np.zeros(len(y), np.int64), *codes]
+    w = [np.zeros(len(n)) for n in names]
+    z = np.zeros(len(y))
+    for _ in range(sweeps):
+        most = 0.0
+        for v, code in enumerate(codes):
+            p, ridge = odds(z), METADATA_RIDGE if v else 1e-6
+            g = np.bincount(code, weight * (p - y), len(w[v])) + ridge * w[v]
+            h = np.bincount(code, weight * np.maximum(p * (1 - p), 1e-6), len(w[v])) + ridge
+            step = np.clip(g / h, -2, 2)
+            w[v] -= step
+            z -= step[code]
+            most = max(most, float(np.abs(step).max()))
+        if most < 1e-6:
+            break
+    return float(w[0][0]), [dict(zip(n, x.tolist())) for n, x in zip(names[1:], w[1:])]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float, steps: int = 12) -> np.ndarray:
@@ -94,45 +128,112 @@ def _z(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def co_train(views: list[np.ndarray], y: np.ndarray, pools: list[np.ndarray], rounds: int = ROUNDS,
-             ridges=(0.05, 2.0)) -> list[tuple[np.ndarray, np.ndarray]] | None:
-    """[(weights, calibration (slope, shift))] of the two views, last the prior log odds; None without both classes."""
+def _steps(x: np.ndarray, y: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Gradient and Hessian of the loss, in one array of (features + 1) columns."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    p = odds(x @ w)
+    return np.vstack([x.T @ (weight * (p - y)), (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, FEATURES).astype(float)
+
+
+def _content_marks(w: np.ndarray):
+    """(lang, source, length, mark, n) of the rows that the content view is sure of."""
+    def run(batches):
+        for batch in batches:
+            p = odds(_z(_matrix(batch.column(3)), w))
+            mark = pa.array(np.where(p >= SURE, 1, 0).astype(np.int32))
+            table = pa.table([*batch.columns[:3], mark], ["lang", "source", "length", "mark"])
+            found = table.filter(pa.array((p >= SURE) | (p <= 1 - SURE))).group_by(table.column_names).aggregate([([], "count_all")])
+            yield from found.rename_columns([*table.column_names, "n"]).combine_chunks().to_batches()
+    return run
+
+
+def _content_sums(w: np.ndarray, marks: dict):
+    """(part, sums): a task's sums for a Newton step over the rows that the metadata view has marked."""
+    def run(batches):
+        total = np.zeros((FEATURES + 2, FEATURES + 1))
+        for batch in batches:
+            found = [marks.get(k) for k in zip(*[c.to_pylist() for c in batch.columns[:3]])]
+            at = [i for i, m in enumerate(found) if m]
+            if at:
+                y, weight = np.array([found[i] for i in at]).T
+                total += _steps(_matrix(batch.column(3).take(pa.array(at))), y, weight, w)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tobytes()], pa.binary())],
+                                         ["part", "sums"])
+    return run
+
+
+def _add(table: pa.Table) -> pa.Table:
+    table = table.sort_by("part")
+    total = sum(np.frombuffer(v) for v in table.column("sums").to_pylist())
+    return pa.table([table.column("part")[:1], pa.array([total.tobytes()], pa.binary())], ["part", "sums"])
+
+
+def _group_weights(source: list, mark: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Weight of one row of each entry, so that no source and class weighs more than GROUP rows."""
+    size: dict = {}
+    for k, m in zip(zip(source, mark.tolist()), n.tolist()):
+        size[k] = size.get(k, 0) + m
+    return np.array([min(1.0, GROUP / size[k]) for k in zip(source, mark.tolist())], float)
+
+
+def co_train(content: np.ndarray, metadata: list[list], y: np.ndarray, free: DataFrame, rounds: int = ROUNDS):
+    """((weights, calibration (slope, shift)) of content, the same of metadata, prior log odds); None without both classes.
+
+    free: (lang, source, length, x) of all unlabelled rows.
+    """
     held = np.arange(len(y)) % HOLD_OUT == 0
     if len(set(y[~held])) < 2 or len(set(y[held])) < 2:
         return None
-    marks: list[dict[int, int]] = [{}, {}]  # what each view learned from the other
-    models = []
-    for turn in range(rounds + 1):
-        models = []
-        for v in (0, 1):
-            rows = list(marks[v])
-            x = np.vstack([views[v][~held], pools[v][rows]])
-            models.append(fit_logistic(x, np.concatenate([y[~held], [marks[v][r] for r in rows]]), ridges[v]))
-        if turn == rounds:
-            break
-        for v in (0, 1):
-            p = odds(_z(pools[v], models[v]))
-            most = int(SHARE * len(p) / 2)
-            order = np.argsort(p, kind="stable")
-            for r in order[:most][p[order[:most]] <= 1 - SURE]:
-                marks[1 - v].setdefault(int(r), 0)
-            for r in order[len(p) - most:][p[order[len(p) - most:]] >= SURE]:
-                marks[1 - v].setdefault(int(r), 1)
-    out = []
-    for v in (0, 1):
-        z = _z(views[v][held], models[v])
-        out.append((models[v], fit_logistic(z[:, None], y[held], 0.1)))
+    pick = lambda keep: [[v for v, k in zip(c, keep) if k] for c in metadata]
+    x, known, own = content[~held], pick(~held), y[~held]
+    one = np.ones(len(own))
+    near, far = fit_logistic(x, own, CONTENT_RIDGE), fit_metadata(known, own, one)
+    kinds = free.groupBy("lang", "source", "length").agg(F.count("*").alias("n")).toArrow().sort_by(
+        [(c, "ascending") for c in ("lang", "source", "length")])
+    kinds, rows = [kinds.column(c).to_pylist() for c in ("lang", "source", "length")], kinds.column("n").to_numpy()
+    penalty = np.full(FEATURES + 1, CONTENT_RIDGE)
+    penalty[-1] = 1e-6
+    for _ in range(rounds if len(rows) else 0):
+        told = map_arrow(free, _content_marks(near), "lang string, source string, length int, mark int, n long").groupBy(
+            "lang", "source", "length", "mark").agg(F.sum("n").alias("n")).toArrow().sort_by(
+            [(c, "ascending") for c in ("lang", "source", "length", "mark")])
+        p = odds(metadata_z(kinds, far))
+        sure = np.flatnonzero((p >= SURE) | (p <= 1 - SURE))
+        mark = (p[sure] >= SURE).astype(int)
+        weight = _group_weights([kinds[1][i] for i in sure], mark, rows[sure])
+        weight *= min(1.0, len(own) / max(float(weight @ rows[sure]), 1.0))  # the labelled rows weigh as much at least
+        marks = {(kinds[0][i], kinds[1][i], kinds[2][i]): m for i, *m in zip(sure, mark.tolist(), weight.tolist())}
+        for _ in range(STEPS):
+            sums = _steps(x, own, one, near)
+            if marks:
+                found = map_arrow(free, _content_sums(near, marks), "part long, sums binary").groupBy(
+                    F.pmod("part", F.lit(SUMS))).applyInArrow(_add, "part long, sums binary").toArrow()
+                sums = sums + np.frombuffer(_add(found).column("sums")[0].as_py()).reshape(sums.shape)
+            step = np.linalg.solve(sums[1:] + np.diag(penalty), sums[0] + penalty * near)
+            near = near - step * min(1, 5 / max(np.abs(step).max(), 1e-9))
+            if np.abs(step).max() < 1e-3:
+                break
+        told_y, n = told.column("mark").to_numpy(), told.column("n").to_numpy()
+        told = [told.column(c).to_pylist() for c in ("lang", "source", "length")]
+        far = fit_metadata([a + b for a, b in zip(known, told)], np.concatenate([own, told_y]),
+                           np.concatenate([one, n * _group_weights(told[1], told_y, n)]))
+    calibrate = lambda z: fit_logistic(z[:, None], y[held], 0.1)
     prior = float(np.log(y.mean() / (1 - y.mean())))
-    return [*out, (np.array([prior]), np.array([]))]
+    return (near, calibrate(_z(content[held], near))), (far, calibrate(metadata_z(pick(held), far))), prior
 
 
-def predict(model, content: np.ndarray, metadata: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def predict(model, content: np.ndarray, metadata: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(content probability, metadata probability, combined probability)."""
     if model is None:
         half = np.full(len(content), 0.5)
         return half, half, half
-    a, b = (_z(_z(x, w)[:, None], c) for x, (w, c) in zip((content, metadata), model))
-    return odds(a), odds(b), odds(a + b - model[2][0][0])
+    (near, near_fit), (far, far_fit), prior = model
+    a, b = _z(_z(content, near)[:, None], near_fit), _z(metadata_z(metadata, far)[:, None], far_fit)
+    return odds(a), odds(b), odds(a + b - prior)
 
 
 def _columns(docs: DataFrame, id_col: str, text_col: str) -> list:
@@ -142,47 +243,51 @@ def _columns(docs: DataFrame, id_col: str, text_col: str) -> list:
             column("lang", "string"), column("source", "string"), column("n_chars", "long")]
 
 
-def _views(rows, data, offsets):
+def _views(rows, data, offsets) -> tuple[np.ndarray, list[list]]:
     column = lambda c: rows.column(rows.schema.get_field_index(c)).to_pylist()
-    return content_features(data, offsets), metadata_features(column("lang"), column("source"), column("n_chars"))
+    return content_features(data, offsets), [column("lang"), column("source"), [length_class(n) for n in column("n_chars")]]
+
+
+def _featured(docs: DataFrame) -> DataFrame:
+    """(doc_id, y, lang, source, length, x) of rows (doc_id, text, lang, source, n_chars, y)."""
+    def run(batches):
+        for batch in batches:
+            for rows, data, offsets in text_slices(batch, "text"):
+                x, (lang, source, length) = _views(rows, data, offsets)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0), rows.column(rows.schema.get_field_index("y")), pa.array(lang, pa.string()),
+                     pa.array(source, pa.string()), pa.array(length, pa.int32()),
+                     pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())],
+                    ["doc_id", "y", "lang", "source", "length", "x"])
+
+    return map_arrow(docs, run, "doc_id long, y int, lang string, source string, length int, x binary")
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS):
-    """The two models, fitted on at most ``labelled`` and ``pool`` documents; None where a class is missing.
+          labelled: int = LABELLED, rounds: int = ROUNDS):
+    """The two models, fitted on at most ``labelled`` labelled documents and all unlabelled ones; None where a class is missing.
 
     Labels with null id or quality are ignored; an id with several counts as
-    good if any is; a label without document has no effect. Documents with
-    one id count once (the smallest row).
+    good if any is; a label without document has no effect. Labelled
+    documents with one id count once (the smallest row); unlabelled rows all
+    count, also those without id. Their features are written once.
     """
     spark = docs.sparkSession
     good = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y")).dropna()
     good = good.groupBy("doc_id").agg(F.max("y").alias("y"))
-    h = F.xxhash64("doc_id")
-    chosen = good.orderBy(h, "doc_id").limit(labelled)
-    ids = docs.select(F.col(id_col).cast("long").alias("doc_id")).dropna().distinct()
-    free = ids.join(good, "doc_id", "left_anti").orderBy(h, "doc_id").limit(pool).withColumn("y", F.lit(None).cast("int"))
-    wanted = spark.createDataFrame(chosen.unionByName(free).toArrow())  # labelled + pool rows at most
-    sample = docs.select(*_columns(docs, id_col, text_col)).join(F.broadcast(wanted), "doc_id")
+    source = docs.select(*_columns(docs, id_col, text_col))
+    chosen = good.join(source.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    wanted = spark.createDataFrame(chosen.toArrow())  # labelled rows at most
+    sample = source.join(F.broadcast(wanted), "doc_id")
     one = sample.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars", "y")).alias("r"))
-
-    def run(batches):
-        for batch in batches:
-            for rows, data, offsets in text_slices(batch, "text"):
-                a, b = _views(rows, data, offsets)
-                x = np.hstack([a, b]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(rows.schema.get_field_index("y")),
-                     pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
-
-    found = map_arrow(one.select("doc_id", "r.*"), run, "doc_id long, y int, x binary").toArrow().sort_by("doc_id")
+    found = _featured(one.select("doc_id", "r.*")).toArrow().sort_by("doc_id")
     if not found.num_rows:
         return None
-    x = np.stack([np.frombuffer(v, np.float32) for v in found.column("x").to_pylist()]).astype(float)
-    y = np.array([-1 if v is None else int(v > 0) for v in found.column("y").to_pylist()])
-    split = x.shape[1] - LANGS - SOURCES - LENGTHS
-    known = y >= 0
-    return co_train([x[known, :split], x[known, split:]], y[known], [x[~known, :split], x[~known, split:]], rounds)
+    free = _featured(source.withColumn("y", F.lit(None).cast("int"))).join(good.select("doc_id"), "doc_id", "left_anti")
+    free = stage(free.select("lang", "source", "length", "x"), "unlabelled")
+    y = (found.column("y").to_numpy() > 0).astype(int)
+    return co_train(_matrix(found.column("x")), [found.column(c).to_pylist() for c in ("lang", "source", "length")],
+                    y, free, rounds)
 
 
 def score(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),

@@ -200,6 +200,33 @@ def test_op9(spark, edges):
     assert cotraining.score(edges.limit(0), cotraining.train(edges.limit(0), labels)).count() == 0
 
 
+def test_op9_learns_from_all_unlabelled_rows(spark):
+    from pyspark.sql import functions as F
+    rng = random.Random(9)
+    good = lambda: _prose(rng, 40)
+    bad = lambda: "$$ 0123 ## " * 12
+    rows = [(i, good() if i % 2 else bad(), "a" if i % 2 else "b") for i in range(8_000)]
+    ids = [r.id for r in spark.range(400, 8_000).orderBy(F.xxhash64("id").desc()).limit(60).collect()]
+    for i in ids:  # rare sources among the last of the unlabelled rows
+        rows[i] = (i, bad(), f"rare {i % 2}") if i % 2 == 0 else (i, good(), f"rare {i % 2}")
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(10 ** 6 + i, 0) for i in range(20_000)],
+                                   "doc_id long, quality int")  # most labels are of documents that are not here
+    model = cotraining.train(docs, labels)
+    ask = spark.createDataFrame([(i, "", "en", s, 0) for i, s in enumerate(("rare 0", "rare 1", "unknown"))], docs.schema)
+    got = {r.doc_id: r.metadata_score for r in cotraining.score(ask, model).collect()}
+    assert got[0] + 0.05 < got[2] < got[1] - 0.05
+
+
+def test_op9_source_weights_do_not_collide():
+    n = 3_000
+    sources = [f"s{i}" for i in range(n) for _ in range(10)]
+    y = np.repeat(np.arange(n) % 2, 10)
+    model = cotraining.fit_metadata([["en"] * len(y), sources, [5] * len(y)], y, np.ones(len(y)))
+    assert np.array_equal(cotraining.metadata_z([["en"] * len(y), sources, [5] * len(y)], model) > 0, y == 1)
+
+
 def test_pipeline(spark, edges):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     n = [docs.count()]
