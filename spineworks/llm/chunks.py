@@ -87,25 +87,24 @@ def _digests(raw: bytes, a: np.ndarray, b: np.ndarray, begin: np.ndarray, end: n
 
 
 def _digest_rows(cut_bits: int, min_words: int):
-    """(hi, lo, key, text_hash) of each row's distinct chunks and windows."""
+    """(hi, lo, place) of each row's distinct chunks and windows."""
     def run(batches):
         for batch in batches:
             for rows, data, offsets in text_slices(batch, "text"):
                 a, b, words, first = cut(data, offsets, cut_bits)
                 begin, end, row = windows(words, first, min_words)
-                if not len(begin):  # nothing that could be removed
+                if not len(a):
                     continue
                 chunks, spans = _digests(data.tobytes(), a, b, begin, end)
                 d = np.frombuffer(b"".join(chunks + spans), _DIGEST)
                 row = np.concatenate([np.repeat(np.arange(len(first) - 1), np.diff(first)), row])
-                key, text_hash = (rows.column(c).to_numpy()[row] for c in (0, 1))
                 hi, lo = d["hi"].astype(np.int64), d["lo"].astype(np.int64)
                 order = np.lexsort((lo, hi, row))
                 same = np.ones(len(order), bool)
                 same[1:] = (np.diff(row[order]) != 0) | (np.diff(hi[order]) != 0) | (np.diff(lo[order]) != 0)
                 keep = order[same]
-                yield pa.RecordBatch.from_arrays([pa.array(hi[keep]), pa.array(lo[keep]), pa.array(key[keep]),
-                                                  pa.array(text_hash[keep])], ["hi", "lo", "key", "text_hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(hi[keep]), pa.array(lo[keep]), rows.column(0).take(pa.array(row[keep]))],
+                                                 ["hi", "lo", "place"])
     return run
 
 
@@ -186,9 +185,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """(doc_id, carried, text, chunks, repeated_chunks, removed_chunks, words, removed_words), one for each row.
 
     text is what stays. A window or a chunk is a repeat if a smaller doc_id
-    has it, or the text itself has it before. Rows with one doc_id count as
-    one document and do not remove each other's chunks; null ids come last
-    and count as one document. A null text stays null; empty texts have no
+    has it, or the text itself has it before. Null ids come last; different
+    texts of one id, or without id, are different documents in the order of
+    a hash of theirs. Rows equal in id and text count as one document and do
+    not remove each other's chunks. A null text stays null; empty texts have no
     chunks. carried is a struct of the columns named in ``keep``, absent
     without any. Empty input gives an empty result.
 
@@ -196,18 +196,19 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     the smallest id of a digest is combined on the map side. A hot digest
     meets its documents in a plain join, which AQE can split.
     """
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("key")
     text = F.col(text_col).cast("string")
-    row = [key, F.xxhash64(text).alias("text_hash")]
-    found = stage(map_arrow(docs.select(*row, text.alias("text")), _digest_rows(cut_bits, min_words),
-                            "hi long, lo long, key long, text_hash long"), "digests")
-    firsts = stage(found.groupBy("hi", "lo").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).cast("decimal(19,0)")
+    # (id, 60 bits of the text's hash) as one number, which a hash aggregate can take the minimum of
+    place = (key * F.lit(1 << 60).cast("decimal(19,0)") + F.shiftrightunsigned(F.xxhash64(text), 4)).cast("decimal(38,0)").alias("place")
+    found = stage(map_arrow(docs.select(place, text.alias("text")), _digest_rows(cut_bits, min_words),
+                            "hi long, lo long, place decimal(38,0)"), "digests")
+    firsts = stage(found.groupBy("hi", "lo").agg(F.min("place").alias("first"), F.max("place").alias("last"))
                    .where("first < last").drop("last"), "firsts")
-    repeats = stage(found.join(firsts, ["hi", "lo"]).where("key > first").groupBy("key", "text_hash")
+    repeats = stage(found.join(firsts, ["hi", "lo"]).where("place > first").groupBy("place")
                     .agg(F.collect_set(F.struct("hi", "lo")).alias("repeats")), "repeats")
     carried = [F.struct(*keep).alias("carried")] if keep else []
-    rows = docs.select(*row, F.col(id_col).cast("long").alias("doc_id"), *carried, text.alias("text"))
-    out = rows.join(repeats, ["key", "text_hash"], "left").drop("key", "text_hash")
+    rows = docs.select(place, F.col(id_col).cast("long").alias("doc_id"), *carried, text.alias("text"))
+    out = rows.join(repeats, "place", "left").drop("place")
     kept = f", carried {out.schema['carried'].dataType.simpleString()}" if keep else ""
     return map_arrow(out, _rewrite(cut_bits, min_words), f"doc_id long{kept}, text string, chunks long, "
                      "repeated_chunks long, removed_chunks long, words long, removed_words long")

@@ -89,6 +89,16 @@ def test_op2_keeps_runs_pieced_together_from_many_documents(spark):
     assert got[2_000_000].removed_words >= 280
 
 
+def test_op2_null_and_equal_ids_are_different_documents(spark):
+    rng = random.Random(6)
+    passage, other = _prose(rng, 60), _prose(rng, 60)
+    rows = [(None, _prose(rng, 30) + " " + passage + " " + _prose(rng, 30)) for _ in range(4)]
+    rows += [(7, _prose(rng, 30) + " " + other), (7, _prose(rng, 31) + " " + other), (2 ** 63 - 1, "end"), (-2 ** 63, "begin")]
+    got = chunks.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.removed_words > 25 for r in got if r.doc_id is None) == [False, True, True, True]
+    assert sorted(r.removed_words > 25 for r in got if r.doc_id == 7) == [False, True]
+
+
 def test_op2_windows_cover_every_long_run():
     rng = np.random.default_rng(1)
     words, first = rng.integers(1, 9, 60), np.array([0, 25, 25, 60])
