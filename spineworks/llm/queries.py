@@ -53,7 +53,7 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of all documents; the target are documents labelled good."""
     docs = _table(spark, sf_dir, "documents")
-    return scoring.score(docs, scoring.labelled(docs, _table(spark, sf_dir, "labels")),
+    return scoring.score(docs, scoring.labelled(_table(spark, sf_dir, "labels")),
                          tokenizer_path("byte_bpe_50k.json"))
 
 

@@ -28,6 +28,8 @@ CELLS = SIZE * SIZE
 BLOCK_TOKENS = 1 << 21
 SLICE_TOKENS = 1 << 18
 BATCH_ROWS = 1 << 16
+#: Bytes of a row group of the written tokens, which a task holds in memory.
+ROW_GROUP = 16 << 20
 
 
 def _cells(ids: np.ndarray, size: int = SIZE) -> np.ndarray:
@@ -137,7 +139,8 @@ def score(docs: DataFrame, target: DataFrame, vocabulary: str, end_id: int = 50_
     Losses are means over a document's tokens, the end included; difference
     is target_loss - background_loss, lower being nearer to the target.
     Null and empty texts are the end token alone. ``target`` is a table of
-    the same columns; where it is empty its model is uniform.
+    the same columns, or of ids alone: those of the target's rows in
+    ``docs``. Where it is empty its model is uniform.
 
     Each text is encoded once and written. Its block's cells are summed
     before any shuffle, so a hot bigram has one row for each block, and only
@@ -145,10 +148,17 @@ def score(docs: DataFrame, target: DataFrame, vocabulary: str, end_id: int = 50_
     """
     pick = lambda t, model: t.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                                      F.lit(model).alias("model"))
-    tokens = stage(map_arrow(pick(docs, 0).unionByName(pick(target, 1)), _encode(vocabulary, end_id, block_tokens),
-                             "block long, model int, doc_id long, tokens binary"), "tokens")
-    local = stage(map_arrow(tokens.select("block", "model", "tokens"), _count(size, block_tokens),
-                            "cell long, block long, background long, target long"), "local-counts")
+    own = text_col in target.columns
+    texts = pick(docs, 0).unionByName(pick(target, 1)) if own else pick(docs, 0)
+    tokens = stage(map_arrow(texts, _encode(vocabulary, end_id, block_tokens),
+                             "block long, model int, doc_id long, tokens binary"), "tokens", **{"parquet.block.size": ROW_GROUP})
+    counted = tokens.select("block", "model", "tokens")
+    local = map_arrow(counted, _count(size, block_tokens), "cell long, block long, background long, target long")
+    if not own:  # a model needs no blocks
+        near = tokens.join(target.select(F.col(id_col).cast("long").alias("doc_id")), "doc_id", "left_semi").select(
+            F.lit(-1).cast("long").alias("block"), F.lit(1).alias("model"), "tokens")
+        local = local.unionByName(map_arrow(near, _count(size, block_tokens), "cell long, block long, background long, target long"))
+    local = stage(local, "local-counts")
     counts = stage(local.groupBy("cell").agg(F.sum("background").alias("background"), F.sum("target").alias("target")), "counts")
     total = counts.where(F.col("cell") < VOCABULARY).agg(F.sum("target"), F.sum("background")).first()
     wanted = local.where("background > 0").select("cell", "block").join(counts, "cell")
@@ -158,7 +168,6 @@ def score(docs: DataFrame, target: DataFrame, vocabulary: str, end_id: int = 50_
         "doc_id long, n_tokens long, target_loss double, background_loss double, difference double")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents labelled quality 1 and not toxic, each row once."""
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
-    return docs.select(id_col, text_col).join(good, F.col(id_col).cast("long") == F.col("good_id"), "left_semi")
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id) of documents labelled quality 1 and not toxic."""
+    return labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
