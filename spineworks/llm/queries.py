@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bounded_topk, chunks, collision_search, cotraining, licenses, mixing, packing, scoring, simhash,
-               token_files, variants)
+from . import (bounded_topk, chunks, collision_search, cotraining, licenses, mixing, packing, prefix_trie, scoring,
+               simhash, token_files, variants)
 from .common import tokenizer_path
 
 
@@ -68,6 +68,11 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prefix trie of all conversations, rebuilt over the heads of their groups' first ones."""
+    return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants among the words of all documents, under their frequent neighbours."""
     return variants.group(_table(spark, sf_dir, "documents"))
@@ -75,5 +80,6 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_substring_dedup, op3_mix_sources, op4_nearest, op5_exact_top_k, op6_license_scan,
-    op7_token_files, op8_lm_score, op9_quality, op10_pack, op13_spelling_variants)}
-ORACLE: dict[str, str] = {"op3_mix_sources": mixing.ORACLE, "op13_spelling_variants": variants.ORACLE}  # op5 by SQL is a cross join, too slow at size
+    op7_token_files, op8_lm_score, op9_quality, op10_pack, op11_prefix_trie, op13_spelling_variants)}
+ORACLE: dict[str, str] = {"op3_mix_sources": mixing.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE,
+                          "op13_spelling_variants": variants.ORACLE}  # op5 by SQL is a cross join, too slow at size
