@@ -39,15 +39,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str, **options) -> DataFrame:
+def stage(df: DataFrame, name: str, split: str | None = None, **options) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
     Cuts lineage: a lost executor costs only the tasks of the current step.
-    ``options`` are the writer's.
+    ``split`` is a column with a folder for each value, ``options`` are the
+    writer's.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/stage-{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.options(**options).parquet(path, partitionBy=split)
     return spark.read.schema(df.schema).parquet(path)
 
 

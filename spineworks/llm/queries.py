@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (bounded_topk, chunks, collision_search, cotraining, licenses, mixing, packing, prefix_trie, scoring,
-               simhash, token_files, variants)
+               simhash, suffix_levels, token_files, variants)
 from .common import tokenizer_path
 
 
@@ -73,6 +73,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_table(spark, sf_dir, "conversations"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the strings of 100 bytes that also start earlier."""
+    return suffix_levels.digests(_table(spark, sf_dir, "documents"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spelling variants among the words of all documents, under their frequent neighbours."""
     return variants.group(_table(spark, sf_dir, "documents"))
@@ -80,6 +85,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_substring_dedup, op3_mix_sources, op4_nearest, op5_exact_top_k, op6_license_scan,
-    op7_token_files, op8_lm_score, op9_quality, op10_pack, op11_prefix_trie, op13_spelling_variants)}
+    op7_token_files, op8_lm_score, op9_quality, op10_pack, op11_prefix_trie, op12_suffix_dedup,
+    op13_spelling_variants)}
 ORACLE: dict[str, str] = {"op3_mix_sources": mixing.ORACLE, "op11_prefix_trie": prefix_trie.ORACLE,
-                          "op13_spelling_variants": variants.ORACLE}  # op5 by SQL is a cross join, too slow at size
+                          "op12_suffix_dedup": suffix_levels.ORACLE, "op13_spelling_variants": variants.ORACLE}  # op5 by SQL is a cross join, too slow at size
