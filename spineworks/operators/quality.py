@@ -9,18 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spineworks.functions import is_blank, percent_half_up
-from spineworks.session import ensure_checkpoint_dir
 
 
 _KINDS = ("null", "empty", "whitespace")
 
 
-def column_profile(df: DataFrame, table: str, kinds=_KINDS) -> DataFrame:
-    """Per column: nulls, empty strings and whitespace-only strings, plus the row count.
+def profile_metrics(df: DataFrame, kinds=_KINDS) -> list[Column]:
+    """Aggregates behind ``column_profile``: rows, and per column nulls, empty and whitespace-only strings.
 
-    One scan and one global aggregate for all columns and all requested
-    checks; the single result row is unpivoted to (table_name, column, ...).
-    Non-text columns are never empty or blank.
+    They also serve as metrics of ``DataFrame.observe``, so a table that is
+    written anyway is profiled in the same pass. Non-text columns are never
+    empty or blank.
     """
     tests = {"null": lambda c: c.isNull(), "empty": lambda c: c == "",
              "whitespace": lambda c: is_blank(c)}
@@ -30,7 +29,22 @@ def column_profile(df: DataFrame, table: str, kinds=_KINDS) -> DataFrame:
         for k in kinds:
             if k == "null" or text:
                 aggs.append(F.count(F.when(tests[k](F.col(f.name)), 1)).alias(f"{k}__{f.name}"))
-    one = df.agg(*aggs)
+    return aggs
+
+
+def observed_profile(df: DataFrame, table: str, metrics: Mapping[str, int]) -> list[tuple]:
+    """Rows of ``column_profile`` (all kinds) from the observed ``profile_metrics`` of ``df``."""
+    return [(table, f.name, i + 1, *[int(metrics.get(f"{k}__{f.name}", 0)) for k in _KINDS], int(metrics["_rows"]))
+            for i, f in enumerate(df.schema.fields)]
+
+
+def column_profile(df: DataFrame, table: str, kinds=_KINDS) -> DataFrame:
+    """Per column: nulls, empty strings and whitespace-only strings, plus the row count.
+
+    One scan and one global aggregate for all columns and all requested
+    checks; the single result row is unpivoted to (table_name, column, ...).
+    """
+    one = df.agg(*profile_metrics(df, kinds))
     structs = []
     for i, f in enumerate(df.schema.fields):
         text = isinstance(f.dataType, T.StringType)
@@ -43,50 +57,78 @@ def column_profile(df: DataFrame, table: str, kinds=_KINDS) -> DataFrame:
         F.lit(table).alias("table_name"), "p.*", "rows")
 
 
-def profile_report(tables: Mapping[str, DataFrame], kind: str) -> DataFrame:
+def profile_report(profile: DataFrame, kind: str) -> DataFrame:
     """(table_name, column, <kind>_count, <kind>_percentage), non-zero rows only.
 
     ``kind`` is ``null``, ``empty`` or ``whitespace``. Percentages are
     rounded half-up to 2 decimals on the exact ratio.
     """
-    parts = [column_profile(df, name, (kind,)) for name, df in tables.items()]
-    allp = parts[0]
-    for p in parts[1:]:
-        allp = allp.unionByName(p)
     cnt = f"{kind}_count"
-    return (allp.where(F.col(cnt) > 0)
+    return (profile.where(F.col(cnt) > 0)
             .select("table_name", "column", cnt,
                     percent_half_up(F.col(cnt), F.col("rows")).alias(f"{kind}_percentage"))
-            .orderBy(F.asc("table_name"), F.desc(cnt)))
+            .orderBy(F.asc("table_name"), F.desc(cnt), F.asc("position")))
+
+
+_WORD = 64  # ids in one bitmap word
+
+
+def _members(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Distinct values of several columns as (column number, text, word, bits, n).
+
+    Whole numbers are bits of 64-bit words (word number = value / 64), merged
+    by OR: up to 64 neighbouring ids are one row, scattered ids one row each,
+    so a word is never worse than the value itself. Other types are compared
+    as text, which is exact within one column's type. A null is one value.
+    One scan and one aggregation (map-side first, so a hot value is collapsed
+    in every task) for all columns; ``n`` counts the rows.
+    """
+    one, no_word = F.lit(1).cast("long"), F.lit(None).cast("long")
+    parts = []
+    for i, c in enumerate(columns):
+        if isinstance(df.schema[c].dataType, T.IntegralType):
+            v = F.col(c).cast("long")
+            text = F.lit(None).cast("string")
+            word = F.call_function("div", v - F.pmod(v, F.lit(_WORD)), F.lit(_WORD))
+            bits = F.when(v.isNull(), one).otherwise(
+                F.call_function("shiftleft", one, F.pmod(v, F.lit(_WORD)).cast("int")))
+        else:
+            text, word, bits = F.col(c).cast("string"), no_word, one
+        parts.append(F.struct(F.lit(i).alias("c"), text.alias("text"), word.alias("word"), bits.alias("bits")))
+    return (df.select(F.explode(F.array(*parts)).alias("p")).select("p.*")
+            .groupBy("c", "text", "word").agg(F.bit_or("bits").alias("bits"), F.count(F.lit(1)).alias("n")))
 
 
 def distinct_counts(df: DataFrame, table: str, columns: Sequence[str]) -> DataFrame:
     """(table_name, column, nunique, rows): distinct values per column, null counted once.
 
-    One scan for all columns: rows are exploded into (column, value) pairs,
-    de-duplicated (map-side first, so a hot value is collapsed in every task),
-    then counted per column. Values are compared as text, which is exact
-    within one column's type.
+    Every row contributes to each column, so a column's counts add up to the
+    row count: one scan yields both numbers. Ids cross the shuffle as bitmap
+    words (see ``_members``), not as text.
     """
-    pairs = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-        for c in columns]))
-    counted = (df.select(pairs.alias("p")).select("p.column", "p.value")
-               .groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n")))
-    # Every row contributes one pair per column, so a column's pair counts
-    # add up to the row count: one scan yields both numbers.
-    per_column = counted.groupBy("column").agg(
-        F.count(F.lit(1)).cast("bigint").alias("nunique"),
-        F.sum("_n").cast("bigint").alias("rows"))
-    # An empty table yields no pairs; the fixed column list keeps its rows (0).
+    per_column = _members(df, columns).groupBy("c").agg(
+        F.sum(F.bit_count("bits")).cast("bigint").alias("nunique"),
+        F.sum("n").cast("bigint").alias("rows"))
+    # An empty table yields no members; the fixed column list keeps its rows (0).
     names = df.sparkSession.range(1).select(
-        F.explode(F.array(*[F.lit(c) for c in columns])).alias("column"))
-    return names.join(F.broadcast(per_column), "column", "left").select(
+        F.posexplode(F.array(*[F.lit(c) for c in columns])).alias("c", "column"))
+    return names.join(F.broadcast(per_column), "c", "left").select(
         F.lit(table).alias("table_name"), "column",
         F.coalesce(F.col("nunique"), F.lit(0)).cast("bigint").alias("nunique"),
         F.coalesce(F.col("rows"), F.lit(0)).cast("bigint").alias("rows"))
 
 
+def distinct_row(df: DataFrame, columns: Mapping[str, str], rows_name: str) -> DataFrame:
+    """One row: the number of rows and, per alias, the distinct non-null values of its column."""
+    names = list(columns)
+    members = _members(df, [columns[a] for a in names])
+    known = F.col("text").isNotNull() | F.col("word").isNotNull()
+    return members.agg(
+        *[F.coalesce(F.sum(F.when((F.col("c") == i) & known, F.bit_count("bits"))), F.lit(0)).cast("bigint").alias(a)
+          for i, a in enumerate(names)],
+        F.coalesce(F.sum(F.when(F.col("c") == 0, F.col("n"))), F.lit(0)).cast("bigint").alias(rows_name))
+
+
 def duplicate_rows_count(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
     """Number of rows that repeat an earlier row on all columns but ``ignore``.
 
@@ -125,7 +167,7 @@ def dedupe_keep_min(df: DataFrame, id_col: str) -> DataFrame:
     return df.groupBy(*others).agg(F.min(id_col).alias(id_col)).select(*df.columns)
 
 
-def surrogate_key(df: DataFrame, name: str, order: Sequence[str], start: int = 1,
+def surrogate_key(df: DataFrame, name: str, order: Sequence[str], staging: str, start: int = 1,
                   num_partitions: int | None = None) -> DataFrame:
     """Replace row ids with consecutive integers ``start..start+n-1`` in ``order``.
 
@@ -134,19 +176,19 @@ def surrogate_key(df: DataFrame, name: str, order: Sequence[str], start: int = 1
     distributed: a tiebreak column splits runs of identical rows so range
     partitioning can cut even a huge group of copies; rows are range
     partitioned and sorted; each row's position within its partition comes
-    from ``monotonically_increasing_id``; the result is checkpointed
-    (reliably, to the cluster's checkpoint folder) so the per-partition
-    counts and the numbering see the same partitioning; per-partition
-    offsets (one row per partition, a bounded broadcast) complete the keys.
+    from ``monotonically_increasing_id``; the ranked rows are written to the
+    folder ``staging`` (on a cluster: shared), so that the per-partition
+    counts and the numbering see the same partitioning; per-partition offsets
+    (one row per partition, a bounded broadcast) complete the keys.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.asc_nulls_first(c) for c in order] + [F.asc("_tie")]
-    ranked = (df.withColumn("_tie", F.monotonically_increasing_id())
-              .repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranked = ranked.checkpoint(eager=True)
+    (df.withColumn("_tie", F.monotonically_increasing_id())
+     .repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+     .withColumn("_mid", F.monotonically_increasing_id()).drop("_tie")
+     .write.mode("overwrite").parquet(staging))
+    ranked = spark.read.parquet(staging)
     pid = F.shiftright(F.col("_mid"), 33)
     local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     counts = ranked.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_cnt"))

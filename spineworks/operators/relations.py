@@ -8,42 +8,82 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def not_in(left: DataFrame, key: str, right: DataFrame, right_key: str) -> DataFrame:
+#: Bits of the key bitmap that lets left rows pass an anti join unshuffled.
+#: It is broadcast as 64-bit words: a quarter million rows of 16 bytes at most,
+#: however many keys there are.
+BITMAP_BITS = 1 << 24
+
+
+def key_bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """(_word, _bits): which of ``bits`` hash places the keys take; bitmaps of parts merge by OR.
+
+    At most ``bits`` / 64 rows, whatever the number of keys.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    return (keys.where(F.col(key).isNotNull())
+            .groupBy(F.call_function("div", place, F.lit(64)).alias("_word"))
+            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")))
+                 .alias("_bits")))
+
+
+def _by_bitmap(left: DataFrame, key: str, bitmap: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key is surely absent, rows that may match); null keys are absent."""
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    word = F.call_function("div", place, F.lit(64))
+    looked = left.withColumn("_at", word).join(F.broadcast(bitmap), F.col("_at") == F.col("_word"), "left")
+    bit = F.call_function("bit_get", F.col("_bits"), F.pmod(place, F.lit(64)).cast("int"))
+    may = F.col(key).isNotNull() & (F.coalesce(bit.cast("int"), F.lit(0)) == 1)
+    return looked.where(~may).select(*left.columns), looked.where(may).select(*left.columns)
+
+
+def anti_join(left: DataFrame, key: str, keys: DataFrame, keys_key: str, bits: int = BITMAP_BITS) -> DataFrame:
+    """Rows of ``left`` whose key is not among the distinct ``keys``; null keys stay.
+
+    A bitmap of the keys is broadcast first. Left rows whose place is not set
+    are surely absent: they pass without a shuffle, straight from the scan.
+    Only possible matches (the real ones, and one in ``bits`` / number of keys
+    by chance) reach the exact join. Where keys outnumber the bits by far,
+    all rows are possible matches and the plan is the plain join. The price
+    is a second scan of the left side's files, never a second shuffle.
+    """
+    absent, possible = _by_bitmap(left, key, key_bitmap(keys, keys_key, bits), bits)
+    # Keys are non-null on both sides here; comparing null-safely gives both
+    # join inputs their own exchange on the join key. That is what lets AQE
+    # split a hot left key: skew splitting needs shuffle stages directly under
+    # the join, which the distinct aggregate's partitioning does not provide.
+    checked = possible.join(keys.select(F.col(keys_key).alias("_k")), F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+    return absent.unionByName(checked)
+
+
+def not_in(left: DataFrame, key: str, right: DataFrame, right_key: str, bits: int = BITMAP_BITS) -> DataFrame:
     """Rows of ``left`` where ``key NOT IN (SELECT right_key FROM right)``.
 
     SQL semantics: if the right side is empty every left row passes (a null
     key too); otherwise a null left key, or any null on the right, makes the
     predicate unknown and the row is dropped. The built-in null-aware plan
-    broadcasts the whole right side; this form shuffles instead: a left-anti
-    join against the distinct right keys, plus one global row (number of
-    distinct keys, whether a null is among them) that is a single row and
-    therefore always safe to broadcast.
+    broadcasts the whole right side; here the anti join runs against the
+    distinct right keys behind a bitmap of bounded size (``anti_join``), plus
+    one global row (number of distinct keys, whether a null is among them)
+    that is a single row and therefore always safe to broadcast.
     """
     # The distinct right keys (null kept as a key) answer everything NOT IN
-    # needs: "is the right side empty" and "does it hold a null" are one
-    # global row over them. Both uses read the same aggregate, so Spark
+    # needs: "is the right side empty", "does it hold a null" and the bitmap
+    # are aggregates over them. All uses read the same aggregate, so Spark
     # reuses its exchange: the right side is scanned and shuffled once, and
     # only distinct keys cross the shuffle.
     keys = right.select(F.col(right_key).alias("_rk")).distinct()
     stats = keys.agg(F.count(F.lit(1)).alias("_n"),
                      F.count(F.when(F.col("_rk").isNull(), 1)).alias("_nulls"))
-    # The anti join compares null-safely, so no not-null filter is inferred
-    # into the right scan (which would make the two uses differ). Rows it
-    # lets through that NOT IN rejects (a null left key) are removed by the
-    # final condition, and any null on the right empties the result there.
-    # The null-safe key also gives both join inputs their own exchange on
-    # the join key. That costs a second shuffle of the distinct right keys,
-    # but it is what lets AQE split a hot left key: skew splitting needs
-    # shuffle stages directly under the join, which the reused aggregate
-    # partitioning of a plain-equality form would not provide.
-    survivors = left.join(keys, F.col(key).eqNullSafe(F.col("_rk")), "left_anti")
-    return (survivors.crossJoin(F.broadcast(stats))
+    # Rows the anti join lets through that NOT IN rejects (a null left key)
+    # are removed by the final condition, and any null on the right empties
+    # the result there.
+    return (anti_join(left, key, keys, "_rk", bits).crossJoin(F.broadcast(stats))
             .where((F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(key).isNotNull()))
             .drop("_n", "_nulls"))
 
 
 def in_except(left: DataFrame, key: str, include: DataFrame, include_key: str,
-              exclude: DataFrame, exclude_key: str) -> DataFrame:
+              exclude: DataFrame, exclude_key: str, bits: int = BITMAP_BITS) -> DataFrame:
     """Rows of ``left`` whose key is in ``include EXCEPT exclude`` (null = null in EXCEPT).
 
     ``IN`` never matches a null key, so the result is the left rows with a
@@ -51,20 +91,15 @@ def in_except(left: DataFrame, key: str, include: DataFrame, include_key: str,
     key sets are deduplicated (map-side) before the joins, so a hot key on
     the left meets exactly one row on the right.
     """
-    exc = exclude.select(F.col(exclude_key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
-    # Keys on both sides are non-null, so comparing null-safely changes
-    # nothing in the result; it gives the join its own exchange on each side
-    # (instead of reusing the distinct aggregate's partitioning), which is
-    # what lets AQE split a hot key of the left side.
+    exc = exclude.select(F.col(exclude_key).alias("_k")).distinct()
     if include is left and include_key == key:
         # Every non-null key of the left side is in its own key set, so only
-        # the exclusion remains: one scan of the left side, one anti join.
-        return left.where(F.col(key).isNotNull()).join(
-            exc, F.col(key).eqNullSafe(F.col("_k")), "left_anti")
+        # the exclusion remains.
+        return anti_join(left.where(F.col(key).isNotNull()), key, exc, "_k", bits)
     inc = include.select(F.col(include_key).alias("_k")).where(F.col("_k").isNotNull()).distinct()
     keys = inc.join(exc, "_k", "left_anti")
     return left.where(F.col(key).isNotNull()).join(
-        keys, F.col(key).eqNullSafe(F.col("_k")), "left_semi")
+        keys.select(F.col("_k").alias("_i")), F.col(key).eqNullSafe(F.col("_i")), "left_semi")
 
 
 def full_outer_skew_safe(big: DataFrame, small: DataFrame, key: str,
@@ -90,16 +125,22 @@ def full_outer_skew_safe(big: DataFrame, small: DataFrame, key: str,
 
 
 def left_join_unique_to_skewed(unique: DataFrame, skewed: DataFrame, key: str,
-                               skewed_key: str, skewed_cols: Sequence[str]) -> DataFrame:
+                               skewed_key: str, skewed_cols: Sequence[str], colocated: bool = False) -> DataFrame:
     """``unique LEFT JOIN skewed`` where ``unique`` has one row per key.
 
     A plain left outer join cannot split a hot key on its right side. This
     form joins inner (AQE splits hot keys on either side of an inner join),
     then adds the unmatched ``unique`` rows with null right columns, found by
-    an anti join against the deduplicated right keys.
+    an anti join against the deduplicated right keys. ``unique`` is often an
+    aggregate by the key; a null-safe comparison gives it its own exchange, as
+    splitting needs. With ``colocated`` (both sides bucketed by the key) the
+    plain comparison keeps both in place.
     """
     right = skewed.select(F.col(skewed_key).alias("_sk"), *skewed_cols)
-    inner = unique.join(right, F.col(key) == F.col("_sk"), "inner").drop("_sk")
+    same = F.col(key) == F.col("_sk")
+    if not colocated:
+        same = F.col(key).isNotNull() & F.col(key).eqNullSafe(F.col("_sk"))
+    inner = unique.join(right, same, "inner").drop("_sk")
     right_keys = skewed.select(F.col(skewed_key).alias("_sk")).where(
         F.col("_sk").isNotNull()).distinct()
     unmatched = unique.join(right_keys, F.col(key) == F.col("_sk"), "left_anti")

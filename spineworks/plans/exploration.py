@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spineworks.functions import days_between, exact_avg, exact_sum
+from spineworks.operators.quality import distinct_row
 from spineworks.operators.relations import (
     full_outer_skew_safe, in_except, left_join_unique_to_skewed, not_in)
 from spineworks.operators.shares import group_counts, share_of_total
@@ -26,7 +27,7 @@ def subs_without_churn_event(sub: DataFrame, churn: DataFrame, p: Params) -> Dat
 def unused_subs_by_tier(sub: DataFrame, usage: DataFrame, p: Params) -> DataFrame:
     """Plan tiers of subscriptions never seen in feature usage (NOT IN semantics)."""
     unused = not_in(sub, "subscription_id", usage, "subscription_id")
-    return group_counts(unused, "plan_tier", name="subscriptions").orderBy("subscriptions")
+    return group_counts(unused, "plan_tier", name="subscriptions").orderBy("subscriptions", F.asc_nulls_last("plan_tier"))
 
 
 def resolve_time_by_priority(t: DataFrame, p: Params) -> DataFrame:
@@ -107,13 +108,8 @@ def subs_per_account(sub: DataFrame, p: Params) -> DataFrame:
 # key cardinality -----------------------------------------------------------
 
 def key_cardinality(df: DataFrame, keys: dict[str, str], rows_name: str) -> DataFrame:
-    """Distinct counts of several key columns plus the row count, one row.
-
-    Several distinct counts are planned by Catalyst as one Expand + two-level
-    aggregation: partial de-duplication happens map-side per key.
-    """
-    return df.agg(*[F.countDistinct(c).alias(n) for n, c in keys.items()],
-                  F.count(F.lit(1)).alias(rows_name))
+    """Distinct counts of several key columns plus the row count, one row (ids as bitmap words)."""
+    return distinct_row(df, keys, rows_name)
 
 
 def key_card_account(account: DataFrame, p: Params) -> DataFrame:
@@ -154,28 +150,43 @@ def account_subscriptions(sub: DataFrame, p: Params, account_id=None) -> DataFra
                        "auto_renew_flag").orderBy("account_id", "start_date", "subscription_id")
 
 
-def churn_reactivation_map(churn: DataFrame, sub: DataFrame, p: Params) -> DataFrame:
+def churn_reactivation_map(churn: DataFrame, sub: DataFrame, p: Params, colocated: bool = False) -> DataFrame:
     """Reactivation and churn counts per account, full-joined, then matched to subscriptions.
 
-    A subscription is attached only when both sides name the same account
-    (the join condition compares both ids with the subscription's account),
-    so accounts on one side only get a null subscription. The per-account
-    counts are unique per key and the subscription side may hold hot
-    accounts, so the left join is done as an inner join plus the unmatched
-    rows (see ``left_join_unique_to_skewed``).
+    One grouped pass over the churn events gives both counts; an account
+    with one kind only shows the other side as null (what a full outer join
+    of the two counts gives), and the events without an account show as a row
+    of their own for each kind. A subscription is attached only when both
+    sides name the same account, so accounts on one side only get a null
+    subscription. The per-account counts are unique per key and the
+    subscription side may hold hot accounts, so the left join is done as an
+    inner join plus the unmatched rows (see ``left_join_unique_to_skewed``).
     """
-    acc = F.col("account_id")
-    re = (churn.where(F.col("is_reactivation") == True).groupBy(acc.alias("reactivated_account_id"))  # noqa: E712
-          .agg(F.count("account_id").alias("reactivated_times")))
-    ch = (churn.where(F.col("is_reactivation") == False).groupBy(acc.alias("churned_account_id"))  # noqa: E712
-          .agg(F.count("account_id").alias("churned_times")))
-    both = re.join(ch, re.reactivated_account_id == ch.churned_account_id, "full_outer")
-    key = F.when(F.col("reactivated_account_id") == F.col("churned_account_id"),
-                 F.col("reactivated_account_id"))
-    keyed = both.withColumn("_key", key)
-    joined = left_join_unique_to_skewed(keyed, sub, "_key", "account_id", ["subscription_id"])
-    return joined.select("reactivated_account_id", "churned_account_id", "subscription_id",
-                         "reactivated_times", "churned_times")
+    back = F.col("is_reactivation")
+    counts = churn.where(back.isNotNull()).groupBy("account_id").agg(
+        F.count(F.when(back, 1)).alias("n_re"), F.count(F.when(~back, 1)).alias("n_ch"))
+    named = F.col("account_id").isNotNull()
+    re, ch = F.col("n_re") > 0, F.col("n_ch") > 0
+    both = counts.where(named & re & ch).select(
+        F.col("account_id").alias("_account"), "account_id",
+        F.col("n_re").alias("reactivated_times"), F.col("n_ch").alias("churned_times"))
+    matched = left_join_unique_to_skewed(both, sub, "_account", "account_id", ["subscription_id"], colocated)
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    one_sided = counts.where(named & ~(re & ch)).select(
+        F.when(re, F.col("account_id")).alias("reactivated_account_id"),
+        F.when(ch, F.col("account_id")).alias("churned_account_id"),
+        F.when(re, F.col("n_re")).alias("reactivated_times"), F.when(ch, F.col("n_ch")).alias("churned_times"))
+    unnamed = counts.where(~named).select(
+        F.col("account_id").alias("reactivated_account_id"), F.col("account_id").alias("churned_account_id"),
+        F.explode(F.array_compact(F.array(
+            F.when(re, F.struct(zero.alias("reactivated_times"), none.alias("churned_times"))),
+            F.when(ch, F.struct(none.alias("reactivated_times"), zero.alias("churned_times")))))).alias("n")).select(
+        "reactivated_account_id", "churned_account_id", "n.*")
+    rest = one_sided.unionByName(unnamed).withColumn(
+        "subscription_id", F.lit(None).cast(sub.schema["subscription_id"].dataType))
+    names = ["reactivated_account_id", "churned_account_id", "subscription_id", "reactivated_times", "churned_times"]
+    return matched.select(F.col("_account").alias("reactivated_account_id"), F.col("_account").alias("churned_account_id"),
+                          "subscription_id", "reactivated_times", "churned_times").unionByName(rest.select(*names))
 
 
 def account_sub_attributes(raw_account: DataFrame, sub: DataFrame, p: Params,

@@ -22,15 +22,15 @@ def _union(frames):
 
 
 def null_profile(t: Tables, p: Params) -> DataFrame:
-    return profile_report(t.raw_tables(), "null")
+    return profile_report(t.profile(("null",)), "null")
 
 
 def empty_profile(t: Tables, p: Params) -> DataFrame:
-    return profile_report(t.raw_tables(), "empty")
+    return profile_report(t.profile(("empty",)), "empty")
 
 
 def whitespace_profile(t: Tables, p: Params) -> DataFrame:
-    return profile_report(t.raw_tables(), "whitespace")
+    return profile_report(t.profile(("whitespace",)), "whitespace")
 
 
 _ID_BY_LABEL = {"subscription": ID_COLUMNS["subscription"], "account": ID_COLUMNS["account"],
@@ -112,11 +112,14 @@ def nunique_profile(t: Tables, p: Params) -> DataFrame:
     for name, col in NUNIQUE_COLUMNS:
         if not (name == "feature_usage" and col == "usage_id"):
             by_table.setdefault(name, []).append(col)
-    parts = [distinct_counts(tabs[name], name, cols).select("table_name", "column", "nunique")
-             for name, cols in by_table.items()]
-    parts.append(tabs["feature_usage"].agg(F.count(F.lit(1)).cast("bigint").alias("nunique"))
-                 .select(F.lit("feature_usage").alias("table_name"),
-                         F.lit("usage_id").alias("column"), "nunique"))
+    parts = []
+    for name, cols in by_table.items():
+        found = F.struct("column", "nunique")
+        if name == "feature_usage":
+            ids = F.struct(F.lit("usage_id").alias("column"), F.col("rows").alias("nunique"))
+            found = F.explode(F.when(F.col("column") == cols[0], F.array(found, ids)).otherwise(F.array(found)))
+        parts.append(distinct_counts(tabs[name], name, cols).select("table_name", found.alias("f"))
+                     .select("table_name", "f.*"))
     return _union(parts)
 
 

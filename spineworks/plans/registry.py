@@ -112,7 +112,7 @@ QUERIES.update({
     "key_card_subscription": _sub(X.key_card_subscription),
     "account_subscriptions": _sub(X.account_subscriptions),
     "churn_reactivation_map": lambda t, p: X.churn_reactivation_map(
-        t.churn_event, t.subscription, p),
+        t.churn_event, t.subscription, p, t.colocated),
     "account_sub_attributes": lambda t, p: X.account_sub_attributes(
         t.raw_account, t.subscription, p),
     "days_to_start": lambda t, p: X.days_to_start(t.subscription, t.account, p),

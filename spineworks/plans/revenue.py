@@ -97,15 +97,16 @@ def recurring_rows(sub: DataFrame, account: DataFrame, p: Params) -> DataFrame:
         _mrr().cast("double").alias("mrr_amount"))
 
 
-def _revenue_by(sub: DataFrame, account: DataFrame, p: Params, by: str) -> DataFrame:
-    """Member MRR (mrr) per (``by``, range) and month, subscriptions inner-joined to accounts.
+def _members_with_account(sub: DataFrame, account: DataFrame, p: Params) -> DataFrame:
+    """Member rows with their month range, subscriptions inner-joined to accounts.
 
     The member rows are narrowed to (account, tier, start month, end month,
-    MRR) and joined to the accounts first: AQE broadcasts the account side
-    when its measured size allows, else it sort-merge joins and splits a hot
-    account's partition. The join output is reduced map-side per (``by``,
-    start month, end month) -- a tiny key space -- before the only other
-    shuffle, and just that result is expanded over the spine.
+    MRR) and joined to the accounts first: co-located where both tables are
+    bucketed by account; else AQE broadcasts the account side when its
+    measured size allows, or sort-merge joins and splits a hot account's
+    partition. The callers reduce the join output map-side per month range
+    -- a tiny key space -- before the only other shuffle, and just that
+    result is expanded over the spine.
     """
     lo, hi = _recurring_range(p)
     lo_c, hi_c = clip_range(lo, hi, p.calendar_start, p.calendar_end)
@@ -114,35 +115,41 @@ def _revenue_by(sub: DataFrame, account: DataFrame, p: Params, by: str) -> DataF
                        "mrr_amount")
                .where(F.col("_lo") <= F.col("_hi")))
     acc = account.select(F.col("account_id").alias("_acc"), "industry")
-    joined = members.join(acc, members.account_id == acc._acc)
-    grouped = joined.groupBy(by, "_lo", "_hi").agg(F.sum("mrr_amount").alias("mrr"))
-    return expand_months(grouped, "_lo", "_hi")
+    return members.join(acc, members.account_id == acc._acc)
 
 
-def _long(rows: DataFrame, by: str, out: str) -> DataFrame:
+def _long(members: DataFrame, by: str, out: str) -> DataFrame:
+    grouped = members.groupBy(by, "_lo", "_hi").agg(F.sum("mrr_amount").alias("mrr"))
+    rows = expand_months(grouped, "_lo", "_hi")
     return rows.groupBy("month_date", by).agg(F.sum("mrr").cast("double").alias(out))
 
 
-def _pivot(rows: DataFrame, by: str, values, labels) -> DataFrame:
-    """One aggregate over the expanded ranges; the value list is fixed, so no discovery job."""
-    wide = rows.groupBy("month_date").pivot(by, list(values)).agg(F.sum("mrr"))
-    return wide.select("month_date", *[F.col(f"`{v}`").cast("double").alias(lab) for v, lab in zip(values, labels)])
+def _pivot(members: DataFrame, by: str, values, labels) -> DataFrame:
+    """One column for each value, as conditional sums from the first aggregate on.
+
+    Member rows are reduced to one row for each month range with a sum for
+    each value; only these are expanded over the spine and summed per month.
+    """
+    sums = [F.sum(F.when(F.col(by) == v, F.col("mrr_amount"))).alias(f"v{i}") for i, v in enumerate(values)]
+    rows = expand_months(members.groupBy("_lo", "_hi").agg(*sums), "_lo", "_hi")
+    return rows.groupBy("month_date").agg(
+        *[F.sum(f"v{i}").cast("double").alias(lab) for i, lab in enumerate(labels)])
 
 
 def revenue_by_plan_long(sub: DataFrame, account: DataFrame, p: Params) -> DataFrame:
-    return _long(_revenue_by(sub, account, p, "plan_tier"), "plan_tier", "rev_plan_tier")
+    return _long(_members_with_account(sub, account, p), "plan_tier", "rev_plan_tier")
 
 
 def revenue_by_industry_long(sub: DataFrame, account: DataFrame, p: Params) -> DataFrame:
-    return _long(_revenue_by(sub, account, p, "industry"), "industry", "rev_industry")
+    return _long(_members_with_account(sub, account, p), "industry", "rev_industry")
 
 
 def revenue_by_plan_pivot(sub: DataFrame, account: DataFrame, p: Params) -> DataFrame:
-    return _pivot(_revenue_by(sub, account, p, "plan_tier"), "plan_tier", p.plan_tiers, p.plan_tier_labels)
+    return _pivot(_members_with_account(sub, account, p), "plan_tier", p.plan_tiers, p.plan_tier_labels)
 
 
 def revenue_by_industry_pivot(sub: DataFrame, account: DataFrame, p: Params) -> DataFrame:
-    return _pivot(_revenue_by(sub, account, p, "industry"), "industry", p.industries, p.industry_labels)
+    return _pivot(_members_with_account(sub, account, p), "industry", p.industries, p.industry_labels)
 
 
 def recurring_check(sub: DataFrame, p: Params) -> DataFrame:
@@ -173,13 +180,19 @@ def recurring_rows_no_end_filter(sub: DataFrame, p: Params, subscription_id=None
 
 
 def membership_difference(sub: DataFrame, p: Params) -> DataFrame:
-    """Ids in the first-month rows without end filter EXCEPT ids of the direct check."""
+    """Ids in the first-month rows without end filter EXCEPT ids of the direct check.
+
+    One pass: an id may come from rows of both kinds, so both conditions are
+    collected per id.
+    """
     m0, m0_end = p.calendar_start, p.first_month_end
-    loose = _first_month_rows(sub, p).select("subscription_id")
-    strict = sub.where((F.col("start_date") <= F.lit(m0_end)) & _not_trial()
-                       & ((F.col("end_date") >= F.lit(m0)) | F.col("end_date").isNull())
-                       ).select("subscription_id")
-    return loose.subtract(strict)
+    loose = _not_trial() & started_by(p.calendar_start)
+    strict = ((F.col("start_date") <= F.lit(m0_end)) & _not_trial()
+              & ((F.col("end_date") >= F.lit(m0)) | F.col("end_date").isNull()))
+    per_id = sub.where(loose | strict).groupBy("subscription_id").agg(
+        F.bool_or(F.coalesce(loose, F.lit(False))).alias("_loose"),
+        F.bool_or(F.coalesce(strict, F.lit(False))).alias("_strict"))
+    return per_id.where("_loose and not _strict").select("subscription_id")
 
 
 def accrual_inclusive(sub: DataFrame, p: Params, start_date=None) -> DataFrame:

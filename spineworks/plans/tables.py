@@ -9,12 +9,14 @@ read. Every table is a lazy DataFrame over the source files.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spineworks.operators.quality import dedupe_keep_min, drop_where, surrogate_key
+from spineworks.operators.quality import column_profile, dedupe_keep_min, drop_where, surrogate_key
+from spineworks.session import ensure_checkpoint_dir
 from spineworks.sources import fixtures
 from spineworks.sources.schemas import ACCOUNT_SUBSCRIPTION_COLUMNS
 
@@ -38,10 +40,14 @@ def usage_outlier(df: DataFrame):
 class Tables:
     """Entity tables for one dataset. ``loaders`` maps table name -> (spark, src) -> DataFrame."""
 
+    #: Subscriptions, accounts and churn events lie bucketed by account.
+    colocated = False
+
     def __init__(self, spark: SparkSession, source: str, loaders=None):
         self.spark = spark
         self.source = source
         self._loaders = loaders or fixtures.LOADERS
+        self._rekeyed = None
 
     def _load(self, name: str) -> DataFrame:
         return self._loaders[name](self.spark, self.source)
@@ -78,9 +84,28 @@ class Tables:
     def dedup_subscription(self) -> DataFrame:
         return dedupe_keep_min(self.raw_subscription, "subscription_id")
 
-    def rekeyed_usage(self) -> DataFrame:
-        """Usage rows with consecutive ids (runs a job: the keys are materialized)."""
-        return surrogate_key(self.raw_usage, "usage_id", USAGE_ORDER)
+    def rekeyed_usage(self, staging: str | None = None) -> DataFrame:
+        """Usage rows with consecutive ids.
+
+        Positions need one pass over the sorted rows before the first id is
+        known: that pass runs here, once for this object, and is written to
+        ``staging`` (by default a folder of ``spark.checkpoint.dir``).
+        """
+        if self._rekeyed is None:
+            staging = staging or f"{ensure_checkpoint_dir(self.spark)}/ranked-usage-{uuid.uuid4().hex}"
+            self._rekeyed = surrogate_key(self.raw_usage, "usage_id", USAGE_ORDER, staging)
+        return self._rekeyed
+
+    def profile(self, kinds=("null", "empty", "whitespace")) -> DataFrame:
+        """Null, empty and blank counts of all columns of the raw tables; one scan for each table."""
+        return self._scanned_profile(self.raw_tables(), kinds)
+
+    def _scanned_profile(self, tables: dict[str, DataFrame], kinds=("null", "empty", "whitespace")) -> DataFrame:
+        parts = [column_profile(df, name, kinds) for name, df in tables.items()]
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out
 
     # clean stage ---------------------------------------------------------
     @cached_property

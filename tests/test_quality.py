@@ -1,3 +1,5 @@
+import tempfile
+
 from helpers import rows
 
 from spineworks.operators.quality import (
@@ -34,7 +36,7 @@ def test_usage_outlier_rule_keeps_nulls_drops_zero_errors(spark):
 def test_surrogate_key_consecutive_and_ordered(spark):
     data = [(100 + (i * 7) % 13, f"f{i % 4}") for i in range(200)] + [(5, "dup")] * 50
     df = spark.createDataFrame(data, "sub bigint, name string").withColumn("usage_id", F.lit(0))
-    out = surrogate_key(df, "usage_id", ["sub", "name"], num_partitions=7)
+    out = surrogate_key(df, "usage_id", ["sub", "name"], tempfile.mkdtemp() + "/ranked", num_partitions=7)
     got = out.orderBy("usage_id").collect()
     assert [r["usage_id"] for r in got] == list(range(1, 251))
     keys = [(r["sub"], r["name"]) for r in got]

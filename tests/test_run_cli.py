@@ -1,6 +1,8 @@
 import os
 import tempfile
 
+from spineworks.sources.sink import read_table
+
 
 def test_cli_writes_reports(spark):
     from spineworks.run import main
@@ -8,4 +10,4 @@ def test_cli_writes_reports(spark):
     main(["--source", "/root/testdata/sf0.001", "--warehouse", f"{d}/wh", "--out", f"{d}/out",
           "--reports", "active_end_month_included,clean_usage", "--fixture"])
     assert sorted(os.listdir(f"{d}/out")) == ["active_end_month_included", "clean_usage"]
-    assert spark.read.parquet(f"{d}/out/active_end_month_included").count() == 12
+    assert read_table(spark, f"{d}/out/active_end_month_included").count() == 12

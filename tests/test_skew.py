@@ -4,6 +4,8 @@ Thresholds are lowered so the effect shows on test-sized data, broadcasts
 are disabled so the sort-merge joins (the large-scale plans) are used.
 """
 
+import tempfile
+
 from pyspark.sql import functions as F
 
 from spineworks.plans import exploration as X
@@ -116,7 +118,7 @@ def test_surrogate_key_spreads_a_hot_group_of_copies(spark):
         F.lit(0).alias("usage_id"),
         F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")).alias("sub"),
         F.when(F.col("id") % 3 == 0, F.lit("dup")).otherwise(F.lit("x")).alias("name"))
-    out = surrogate_key(rows, "usage_id", ["sub", "name"], num_partitions=8)
+    out = surrogate_key(rows, "usage_id", ["sub", "name"], tempfile.mkdtemp() + "/ranked", num_partitions=8)
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == n and max(sizes) < n / 4   # the 10,000 copies are cut up
     ids = out.agg(F.min("usage_id"), F.max("usage_id"), F.countDistinct("usage_id")).first()

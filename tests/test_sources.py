@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 from spineworks.sources.calendar import month_spine
 from spineworks.sources.catalog import column_catalog, id_columns, list_tables
 from spineworks.sources.csv import read_csv
-from spineworks.sources.sink import write_table
+from spineworks.sources.sink import read_table, write_table
 from helpers import D
 
 
@@ -42,7 +42,7 @@ def test_sink_overwrites(spark):
     d = os.path.join(tempfile.mkdtemp(prefix="spineworks-sink-"), "t")
     write_table(spark.range(5), d)
     write_table(spark.range(3), d)
-    assert spark.read.parquet(d).count() == 3
+    assert read_table(spark, d).count() == 3
 
 
 def test_csv_bad_dates_fail_or_quarantine(spark):
