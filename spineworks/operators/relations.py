@@ -15,27 +15,36 @@ BITMAP_BITS = 1 << 24
 
 
 def key_bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> DataFrame:
-    """(_word, _bits): which of ``bits`` hash places the keys take; bitmaps of parts merge by OR.
+    """Words (number, bits): which of ``bits`` hash places the keys take; bitmaps of parts merge by OR.
 
     At most ``bits`` / 64 rows, whatever the number of keys.
     """
     place = F.pmod(F.xxhash64(key), F.lit(bits))
     return (keys.where(F.col(key).isNotNull())
-            .groupBy(F.call_function("div", place, F.lit(64)).alias("_word"))
+            .groupBy(F.call_function("div", place, F.lit(64)).alias("__bitmap_word"))
             .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")))
-                 .alias("_bits")))
+                 .alias("__bitmap_bits")))
 
 
 def _by_bitmap(left: DataFrame, key: str, bitmap: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is surely absent, rows that may match); null keys are absent."""
     place = F.pmod(F.xxhash64(key), F.lit(bits))
     word = F.call_function("div", place, F.lit(64))
-    looked = left.withColumn("_at", word).join(F.broadcast(bitmap), F.col("_at") == F.col("_word"), "left")
-    bit = F.call_function("bit_get", F.col("_bits"), F.pmod(place, F.lit(64)).cast("int"))
+    looked = left.withColumn("__bitmap_at", word).join(F.broadcast(bitmap), F.col("__bitmap_at") == F.col("__bitmap_word"), "left")
+    bit = F.call_function("bit_get", F.col("__bitmap_bits"), F.pmod(place, F.lit(64)).cast("int"))
     may = F.col(key).isNotNull() & (F.coalesce(bit.cast("int"), F.lit(0)) == 1)
     return looked.where(~may).select(*left.columns), looked.where(may).select(*left.columns)
 
 
+def split_by_bitmap(left: DataFrame, key: str, keys: DataFrame, keys_key: str, bits: int = BITMAP_BITS
+                    ) -> tuple[DataFrame, DataFrame]:
+    """``left`` in two parts: rows whose key is surely not among ``keys`` (null ones too), and possible matches.
+
+    Only the second part needs a join. It scans the left side twice.
+    """
+    return _by_bitmap(left, key, key_bitmap(keys, keys_key, bits), bits)
+
+
 def anti_join(left: DataFrame, key: str, keys: DataFrame, keys_key: str, bits: int = BITMAP_BITS) -> DataFrame:
     """Rows of ``left`` whose key is not among the distinct ``keys``; null keys stay.
 

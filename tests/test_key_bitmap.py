@@ -36,15 +36,15 @@ def test_against_sql(spark, bits, right):
 def test_text_keys_and_clashing_names(spark):
     a = spark.createDataFrame([("x", 1, 9), ("y", 2, 9), (None, 3, 9)], "k string, _at int, _bits int")
     b = spark.createDataFrame([("y",)], "k string")
-    assert sorted(r["k"] for r in not_in(a.select("k"), "k", b, "k").collect()) == ["x"]
+    assert sorted(r["k"] for r in not_in(a, "k", b, "k").collect()) == ["x"]
 
 
 def test_bitmap_size_is_bounded(spark):
     keys = spark.range(100_000).select(F.col("id").alias("k"))
     bitmap = key_bitmap(keys, "k", bits=1 << 12).collect()
     assert len(bitmap) <= (1 << 12) // 64
-    assert all(r["_bits"] == -1 for r in bitmap)  # saturated
-    few = key_bitmap(keys.where("k < 5"), "k", bits=1 << 12).agg(F.sum(F.bit_count("_bits"))).first()[0]
+    assert all(r["__bitmap_bits"] == -1 for r in bitmap)  # saturated
+    few = key_bitmap(keys.where("k < 5"), "k", bits=1 << 12).agg(F.sum(F.bit_count("__bitmap_bits"))).first()[0]
     assert few == 5
 
 
