@@ -30,7 +30,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents without repeated passages; those of which no word is left go."""
     kept = chunks.dedup_substrings(docs, keep=_others(docs, "text"))
     kept = kept.where("words = 0 or removed_words < words")
-    length = F.when(F.col("removed_words") > 0, F.char_length("text")).otherwise(F.col("carried.n_chars"))
+    length = F.when(F.size("starts") > 0, F.char_length("text")).otherwise(F.col("carried.n_chars"))
     made = {"text": F.col("text"), "n_chars": length}
     return kept.select(*[made.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns])
 
