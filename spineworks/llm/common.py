@@ -12,7 +12,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by the numpy kernels of one task.
 SLICE_BYTES = 512 << 10
@@ -61,6 +62,21 @@ def discard(*staged: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Largest document key; null ids stand for it.
+LAST = (1 << 63) - 1
+
+
+def document_order(docs: DataFrame, id_col: str, text: Column) -> tuple[Column, Column]:
+    """(d, tie): longs that order documents by id, null ids last, equal ids by a hash of ``text``.
+
+    ``tie`` is 0 where all ids differ, which one count of the ids finds out.
+    """
+    ids = docs.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count("*").alias("n"))
+    repeated = ids.where("n > 1 or id is null").limit(1).count() > 0
+    tie = F.xxhash64(text) if repeated else F.lit(0).cast("long")
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("d"), tie.alias("tie")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's modules to the executors, once for each Spark context."""
     sc = spark.sparkContext

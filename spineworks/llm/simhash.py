@@ -20,6 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spineworks.operators.relations import split_by_bitmap
+
 from .common import LOWER, WORD_BYTES, map_arrow, stage, text_slices, word_spans
 from .components import components, forest
 
@@ -315,11 +317,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 width: int = 4, distance: int = 4) -> DataFrame:
     """Rows of ``docs``, all columns, one for each class: that of the smallest id (null ids last), then text hash."""
-    found = near_duplicates(docs, id_col, text_col, width, distance)
+    found = stage(near_duplicates(docs, id_col, text_col, width, distance).select("doc_id", "text_hash", "root"), "classes")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
     best = stage(found.groupBy("root").agg(F.min(order).alias("b")).select(
         F.col("b.doc_id").alias("doc_id"), F.col("b.text_hash").alias("text_hash")).distinct(), "best")
+    # only rows that some class drops, or that stand there more than once, have to meet their class
+    rest = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("rows")).join(
+        best.select(F.col("doc_id").alias("best_id"), F.col("text_hash").alias("best_hash")),
+        F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("text_hash") == F.col("best_hash")), "left")
+    stays = F.col("best_hash").isNotNull()
+    doubtful = stage(rest.where(~stays | (F.col("rows") > 1)).select(
+        "doc_id", "text_hash", stays.alias("stays"), F.xxhash64("doc_id", "text_hash").alias("pair")), "doubtful")
     row = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("own_id"),
                       F.xxhash64(F.col(text_col).cast("string")).alias("own_hash"))
-    kept = row.join(best, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left_semi")
-    return kept.dropDuplicates(["own_id", "own_hash"]).select("row.*")
+    row = row.withColumn("own_pair", F.xxhash64("own_id", "own_hash"))
+    sure, possible = split_by_bitmap(row, "own_pair", doubtful, "pair")
+    met = possible.join(doubtful, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left")
+    clear = met.where("stays is null").select("row")
+    again = met.where("stays").dropDuplicates(["own_id", "own_hash"]).select("row")
+    return sure.select("row").unionByName(clear).unionByName(again).select("row.*")

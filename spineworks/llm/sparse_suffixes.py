@@ -95,40 +95,42 @@ def union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 SCHEMA = "gram long, context long, d long, tie long, start long, size long, removed boolean"
 
 
-def sampled(length: int):
-    """Function from batches (d, tie, text) to entries, of equal ones only the first (d, tie, start).
+def _rows(columns, removed: bool) -> pa.RecordBatch:
+    return pa.record_batch([*[pa.array(np.ascontiguousarray(c, np.int64)) for c in columns],
+                            pa.array(np.full(len(columns[0]), removed))],
+                           ["gram", "context", "d", "tie", "start", "size", "removed"])
+
+
+def first_of_equal(parts, more: int) -> Iterator[pa.RecordBatch]:
+    """Of entries (gram, context, d, tie, start, size) with equal hashes the first (d, tie, start).
 
-    The bytes of the others come as rows with ``removed`` set: their windows
-    stand earlier in the same task's input. ``size`` counts windows, or bytes
-    in a removed row.
+    The bytes of the others, ``size`` + ``more`` from ``start`` on, come as
+    rows with ``removed`` set, as maximal runs of each document.
     """
-    def out(columns, removed):
-        return pa.record_batch([*[pa.array(np.ascontiguousarray(c, np.int64)) for c in columns],
-                                pa.array(np.full(len(columns[0]), removed))],
-                               ["gram", "context", "d", "tie", "start", "size", "removed"])
-
-    def met(parts):
-        gram, context, d, tie, start, size = (np.concatenate(x) for x in zip(*parts))
-        order = np.lexsort((start, tie, d, context, gram))
-        gram, context, d, tie, start, size = (x[order] for x in (gram, context, d, tie, start, size))
-        new = np.ones(len(gram), bool)
-        new[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (d != d[head]) | (tie != tie[head]) | (start != start[head])  # not a copy of the first one's own row
-        yield out([x[new] for x in (gram, context, d, tie, start, size)], False)
-        if later.any():
-            d, tie, start, size = (x[later] for x in (d, tie, start, size))
-            order = np.lexsort((start, tie, d))
-            d, tie, start, size = (x[order] for x in (d, tie, start, size))
-            first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (tie[1:] != tie[:-1])]))
-            doc = np.repeat(np.arange(len(first)), np.diff(first, append=len(d)))
-            end = start + size + length - 1
-            # the documents one behind the other, with room between them
-            room = np.concatenate([[0], np.cumsum(np.maximum.reduceat(end, first) + 1)])
-            a, b = union(start + room[doc], end + room[doc])
-            doc = np.searchsorted(room, a, side="right") - 1
-            yield out([np.zeros(len(a)), np.zeros(len(a)), d[first][doc], tie[first][doc], a - room[doc], b - a], True)
+    gram, context, d, tie, start, size = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((start, tie, d, context, gram))
+    gram, context, d, tie, start, size = (x[order] for x in (gram, context, d, tie, start, size))
+    new = np.ones(len(gram), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
+    head = np.flatnonzero(new)[np.cumsum(new) - 1]
+    later = (d != d[head]) | (tie != tie[head]) | (start != start[head])  # not a copy of the first one's own row
+    yield _rows([x[new] for x in (gram, context, d, tie, start, size)], False)
+    if later.any():
+        gram, d, tie, start, size = (x[later] for x in (gram, d, tie, start, size))
+        order = np.lexsort((start, tie, d))
+        gram, d, tie, start, size = (x[order] for x in (gram, d, tie, start, size))
+        first = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (tie[1:] != tie[:-1])]))
+        doc = np.repeat(np.arange(len(first)), np.diff(first, append=len(d)))
+        end = start + size + more
+        # the documents one behind the other, with room between them
+        room = np.concatenate([[0], np.cumsum(np.maximum.reduceat(end, first) + 1)])
+        a, b = union(start + room[doc], end + room[doc])
+        doc = np.searchsorted(room, a, side="right") - 1
+        yield _rows([gram[first][doc], a, d[first][doc], tie[first][doc], a - room[doc], b - a], True)
 
+
+def sampled(length: int):
+    """Function from batches (d, tie, text) to entries, of equal ones in one task's input only the first."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
@@ -137,8 +139,8 @@ def sampled(length: int):
                 parts.append((gram, context, d[row], tie[row], start + at, size))
                 held += len(gram)
                 if held >= MEET:
-                    yield from met(parts)
+                    yield from first_of_equal(parts, length - 1)
                     parts, held = [], 0
         if held:
-            yield from met(parts)
+            yield from first_of_equal(parts, length - 1)
     return find

@@ -34,9 +34,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import sparse_suffixes
-from .common import discard, map_arrow, shared_folder, stage, text_slices
+from .common import LAST, discard, document_order, map_arrow, shared_folder, stage, text_slices
 
-LAST = (1 << 63) - 1
 #: Contexts of one gram that are compared by one task at once; more are dealt to several.
 GROUP = 2_000
 NO_BYTES = hashlib.sha256(b"").hexdigest()
@@ -108,12 +107,8 @@ class Levels:
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """(doc_id, d, tie, text): ``d`` and ``tie`` order the documents."""
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                       F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = base.groupBy("doc_id").agg(F.count("*").alias("n"))
-    repeated = ids.where("n > 1 or doc_id is null").limit(1).count() > 0
-    tie = F.xxhash64("text") if repeated else F.lit(0).cast("long")
-    return base.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("d"), tie.alias("tie"), "text")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *document_order(docs, "doc_id", text), text.alias("text"))
 
 
 def _ordered(df: DataFrame, *by: str) -> DataFrame:
