@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,25 +14,36 @@ from pyspark.sql import functions as F
 BITMAP_BITS = 1 << 24
 
 
+def _place(key: str, bits: int) -> tuple[Column, Column]:
+    """(word number, bit) of a key's hash place; never null, so no filter on them is pushed below an aggregate."""
+    if bits < 64 or bits & (bits - 1):
+        raise ValueError("the bitmap's size must be a power of two, 64 at least")
+    place = F.xxhash64(key).bitwiseAND(F.lit(bits - 1))
+    return F.shiftrightunsigned(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+
+
 def key_bitmap(keys: DataFrame, key: str, bits: int = BITMAP_BITS) -> DataFrame:
     """Words (number, bits): which of ``bits`` hash places the keys take; bitmaps of parts merge by OR.
 
-    At most ``bits`` / 64 rows, whatever the number of keys.
+    At most ``bits`` / 64 rows, whatever the number of keys. A null takes the
+    place of its hash too.
     """
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    return (keys.where(F.col(key).isNotNull())
-            .groupBy(F.call_function("div", place, F.lit(64)).alias("__bitmap_word"))
-            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(place, F.lit(64)).cast("int")))
-                 .alias("__bitmap_bits")))
+    word, bit = _place(key, bits)
+    # The count keeps the optimizer from merging this aggregate with a distinct
+    # below it, whose exchange other uses of the keys share.
+    return (keys.groupBy(word.alias("__bitmap_word"))
+            .agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__bitmap_bits"),
+                 F.count(F.lit(1)).alias("__bitmap_n"))
+            .where("__bitmap_n > 0").drop("__bitmap_n"))
 
 
 def _by_bitmap(left: DataFrame, key: str, bitmap: DataFrame, bits: int) -> tuple[DataFrame, DataFrame]:
     """(rows whose key is surely absent, rows that may match); null keys are absent."""
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    word = F.call_function("div", place, F.lit(64))
-    looked = left.withColumn("__bitmap_at", word).join(F.broadcast(bitmap), F.col("__bitmap_at") == F.col("__bitmap_word"), "left")
-    bit = F.call_function("bit_get", F.col("__bitmap_bits"), F.pmod(place, F.lit(64)).cast("int"))
-    may = F.col(key).isNotNull() & (F.coalesce(bit.cast("int"), F.lit(0)) == 1)
+    word, bit = _place(key, bits)
+    looked = left.withColumn("__bitmap_at", word).join(
+        F.broadcast(bitmap), F.col("__bitmap_at") == F.col("__bitmap_word"), "left")
+    hit = F.call_function("bit_get", F.col("__bitmap_bits"), bit)
+    may = F.col(key).isNotNull() & (F.coalesce(hit.cast("int"), F.lit(0)) == 1)
     return looked.where(~may).select(*left.columns), looked.where(may).select(*left.columns)
 
 

@@ -83,13 +83,22 @@ def test_plain_left_join_with_hot_right_side_is_not_split(spark):
     assert "skew=true" not in plan
 
 
+def _hot_account(subs):
+    return subs.groupBy("account_id").count().orderBy(F.desc("count")).limit(1).select("account_id")
+
+
 def test_hot_account_is_split_in_not_in(spark):
     from spineworks.operators.relations import not_in
     subs = _subs(spark)
     tickets = spark.range(3000).select(((F.col("id") % 1500) + 501).alias("account_id"))
+    with_hot = tickets.unionByName(_hot_account(subs))
+    n, plan = _run_with(spark, SKEW_CONF, lambda: not_in(subs, "account_id", with_hot, "account_id"))
+    assert n == subs.join(_hot_account(subs), "account_id", "left_anti").where("account_id < 501").count()
+    assert "skew=true" in plan
+    # a hot account without tickets is not even shuffled: the key bitmap lets its rows pass
     n, plan = _run_with(spark, SKEW_CONF, lambda: not_in(subs, "account_id", tickets, "account_id"))
     assert n == subs.where("account_id < 501").count()
-    assert "skew=true" in plan
+    assert "skew=true" not in plan
 
 
 def test_hot_account_is_split_in_full_outer_form(spark):
@@ -128,8 +137,8 @@ def test_surrogate_key_spreads_a_hot_group_of_copies(spark):
 def test_hot_account_is_split_in_in_except(spark):
     from spineworks.operators.relations import in_except
     subs = _subs(spark)
-    churn = spark.range(3000).select(((F.col("id") % 1500) + 501).alias("account_id"))
+    churn = spark.range(3000).select(((F.col("id") % 1500) + 501).alias("account_id")).unionByName(_hot_account(subs))
     n, plan = _run_with(spark, SKEW_CONF,
                         lambda: in_except(subs, "account_id", subs, "account_id", churn, "account_id"))
-    assert n == subs.where("account_id < 501").count()
+    assert n == subs.join(_hot_account(subs), "account_id", "left_anti").where("account_id < 501").count()
     assert "skew=true" in plan
