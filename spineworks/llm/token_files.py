@@ -64,8 +64,8 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
           end_id: int = 0, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Write the token files and return their manifest (part, number, documents, tokens, bytes).
 
-    Rows are range-partitioned and sorted by id, nulls first, equal ids by
-    text. Each text's ids end with ``end_id``; null text: that id alone. A
+    Rows are range-partitioned and sorted by id, nulls first, equal ids by a
+    hash of the text and then by their place in the input. Each text's ids end with ``end_id``; null text: that id alone. A
     task holds one segment, which is one document or about ``segment_ids``
     ids. Empty input writes no file.
     """
@@ -93,7 +93,10 @@ def write(docs: DataFrame, folder: str, vocabulary: str, id_col: str = "doc_id",
             yield close()
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    src = src.repartitionByRange(F.col("doc_id")).sortWithinPartitions("doc_id", "text")
+    # the hash and the row's place in the input spread equal and null ids over tasks
+    order = ["doc_id", "text_hash", "place"]
+    src = src.withColumn("text_hash", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+    src = src.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).select("doc_id", "text")
     return stage(map_arrow(src, run, "part long, number long, documents long, tokens long, bytes long"), "manifest")
 
 

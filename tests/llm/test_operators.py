@@ -127,3 +127,27 @@ def test_op10(spark, edges, empty):
     path = tokenizer_path("word_bpe_49k.json")
     _check_packing(EDGES, packing.pack(edges, path).collect())
     assert packing.pack(empty, path).count() == 0
+
+
+def test_token_ids_equal_the_library(spark):
+    from tokenizers import Tokenizer
+    from spineworks.llm import tokens
+    rnd = np.random.default_rng(5)
+    texts = [t or "" for _, t, _ in _docs()] + ["", " ", "\n\n a  b\t\tc \n", "<|endoftext|> été x", "a\u00a0b\u2003c", "ÀÉ É e\u0301",
+                                                 "x" * 5000 + " y", "don't we'll I'm 's 're ' s", "\x00 \x1c a\x1db", "日本語テキスト " * 30,
+                                                 "1234 5,6.7!!", "ﬁ ① Å"]
+    texts += ["".join(rnd.choice(list(" \n\tab'sTR.,1é <|>日"), rnd.integers(0, 40))) for _ in range(300)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        got = tokens.Encoder(tokenizer_path(name))
+        want = Tokenizer.from_file(tokenizer_path(name)).encode_batch(texts, add_special_tokens=False)
+        for turn in range(2):  # the second time all pieces are known
+            for i in range(0, len(texts), 150):
+                for t, w, g in zip(texts[i:i + 150], want[i:i + 150], got.encode([t.encode() for t in texts[i:i + 150]])):
+                    assert np.frombuffer(g, "<u2").tolist() == w.ids, t
+
+
+def test_token_files_spread_null_ids(spark, tmp_path):
+    docs = spark.createDataFrame([(None if i % 3 else i, f"text {i % 50} of some words") for i in range(6000)], "doc_id long, text string")
+    manifest = token_files.write(docs, str(tmp_path), tokenizer_path("byte_bpe_50k.json"))
+    rows = [r[0] for r in manifest.groupBy("part").sum("documents").select("sum(documents)").collect()]
+    assert sum(rows) == 6000 and max(rows) <= 2 * 6000 / len(rows), rows
