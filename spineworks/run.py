@@ -1,6 +1,7 @@
 """Command line: clean once, then write the chosen reports as Parquet.
 
-    python -m spineworks.run --source DIR --warehouse DIR --out DIR [--reports a,b] [--fixture] [--format csv]
+    python -m spineworks.run --source DIR --warehouse DIR --out DIR [--reports a,b] [--fixture]
+                             [--format csv [--rejects DIR]]
 
 ``--source`` holds the entity tables (the driver's star-schema tables with
 ``--fixture``, else one Parquet folder per entity table named subscription,
@@ -36,6 +37,7 @@ def main(argv=None) -> None:
     ap.add_argument("--reports", default="", help="comma-separated names (default: all)")
     ap.add_argument("--fixture", action="store_true", help="derive entities from star-schema tables")
     ap.add_argument("--format", choices=("parquet", "csv"), default="parquet")
+    ap.add_argument("--rejects", default="", help="with csv: folder for rows that do not parse (default: they end the job)")
     ap.add_argument("--skip-clean", action="store_true", help="reuse an existing warehouse")
     args = ap.parse_args(argv)
     spark = build_session()
@@ -43,7 +45,7 @@ def main(argv=None) -> None:
         spark.conf.set(key, value)
     params = FIXTURE_PARAMS if args.fixture else Params()
     loaders = None if args.fixture else (
-        csv_loaders({n: f"{args.source}/{n}.csv" for n in LOADERS}) if args.format == "csv" else _parquet_loaders())
+        csv_loaders({n: f"{args.source}/{n}.csv" for n in LOADERS}, args.rejects or None) if args.format == "csv" else _parquet_loaders())
     source = Tables(spark, args.source, loaders)
     if not args.skip_clean:
         materialize(source, args.warehouse)
