@@ -1,10 +1,14 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, of the target documents and of all documents, share one
-vocabulary: the token ids of a public tokenizer. Both smooth alike: bigram
-counts are interpolated with add-one unigrams. Every token and every bigram
-has a cell of its own, so counts are exact at any size. They are written as
-a table; blocks of documents fetch the counts of the cells they hold.
+Two matched bigram models share one vocabulary, the token ids of a public
+tokenizer. The background model counts all documents; its bigram estimates are
+interpolated with add-one unigrams. The target model counts the target
+documents and falls back on the background model where it has seen little
+(Dirichlet prior), so both spread their mass over unseen tokens alike and a
+document without a leaning scores about 0 whatever the sizes of the two. Every
+token and every bigram has a cell of its own, so counts are exact at any size.
+They are written as a table; blocks of documents fetch the counts of the cells
+they hold.
 """
 
 from __future__ import annotations
@@ -15,11 +19,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spineworks.operators.relations import split_by_bitmap
+
 from .common import map_arrow, stage
 from .tokens import encoded_rows
 
-#: Weight of the bigram estimate.
+#: Weight of the background's bigram estimate.
 BIGRAM_WEIGHT = 0.6
+#: Tokens that the background model counts for in the target model: in all, and after one token.
+PRIOR, PRIOR_AFTER = 50_000, 50
 VOCABULARY = 1 << 16
 #: Size of the default vocabulary, and its bigrams' cells.
 SIZE = 50_257
@@ -91,19 +99,29 @@ def _count(size: int, block_tokens: int):
     return run
 
 
-def _losses(own: np.ndarray, pair: np.ndarray, total: float, size: int, starts: np.ndarray) -> np.ndarray:
-    """-log p of each token, from the counts of the tokens and of each with the one before it."""
+def _background(own: np.ndarray, pair: np.ndarray, total: float, size: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(probability of each token after the one before it, of each token alone), from their counts."""
     single = (own + 1.0) / (total + size)
     before = own[:-1]
     p = single.copy()
     p[1:] = np.where(before > 0, BIGRAM_WEIGHT * pair / np.maximum(before, 1) + (1 - BIGRAM_WEIGHT) * single[1:], single[1:])
     p[starts] = single[starts]  # a document's first token has none before it
-    return -np.log(p)
+    return p, single
+
+
+def _target(own: np.ndarray, pair: np.ndarray, total: float, background: np.ndarray, single: np.ndarray,
+            starts: np.ndarray) -> np.ndarray:
+    """Probability of each token in the target model, with the background's as prior."""
+    p = np.empty(len(own))
+    p[1:] = (pair + PRIOR_AFTER * background[1:]) / (own[:-1] + PRIOR_AFTER)
+    p[starts] = (own[starts] + PRIOR * single[starts]) / (total + PRIOR)
+    return p
 
 
 def losses(ids: np.ndarray, table: np.ndarray, size: int) -> np.ndarray:
-    """-log p of each token of a document, from a table of all cells' counts."""
-    return _losses(table[ids], table[VOCABULARY + _cells(ids, size)], table[:VOCABULARY].sum(dtype=float), size, np.array([0]))
+    """-log p of each token of a document in the background model, from a table of all cells' counts."""
+    return -np.log(_background(table[ids], table[VOCABULARY + _cells(ids, size)], table[:VOCABULARY].sum(dtype=float), size,
+                               np.array([0]))[0])
 
 
 def _score(size: int, totals: tuple[int, int]):
@@ -122,9 +140,10 @@ def _score(size: int, totals: tuple[int, int]):
             pair = np.zeros(max(len(ids) - 1, 0), np.int64)
             same = _inside(np.cumsum(n[row:stop]))
             pair[same] = np.searchsorted(cell, VOCABULARY + _cells(ids, size)[same])  # the others are not used
-            for mean, known, total in zip(means, table, totals):
-                loss = _losses(known[own], known[pair], total, size, starts)
-                mean.append(np.add.reduceat(loss, starts) / n[row:stop])
+            near, wide = table
+            base, single = _background(wide[own], wide[pair], totals[1], size, starts)
+            for mean, p in zip(means, (_target(near[own], near[pair], totals[0], base, single, starts), base)):
+                mean.append(np.add.reduceat(-np.log(p), starts) / n[row:stop])
             row = stop
         a, b = (np.concatenate(m) if m else np.zeros(0) for m in means)
         return pa.table([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.array(a - b)],
@@ -140,7 +159,7 @@ def score(docs: DataFrame, target: DataFrame, vocabulary: str, end_id: int = 50_
     is target_loss - background_loss, lower being nearer to the target.
     Null and empty texts are the end token alone. ``target`` is a table of
     the same columns, or of ids alone: those of the target's rows in
-    ``docs``. Where it is empty its model is uniform.
+    ``docs``. Where it is empty its model is the background's.
 
     Each text is encoded once and written. Its block's cells are summed
     before any shuffle, so a hot bigram has one row for each block, and only
@@ -155,7 +174,9 @@ def score(docs: DataFrame, target: DataFrame, vocabulary: str, end_id: int = 50_
     counted = tokens.select("block", "model", "tokens")
     local = map_arrow(counted, _count(size, block_tokens), "cell long, block long, background long, target long")
     if not own:  # a model needs no blocks
-        near = tokens.join(target.select(F.col(id_col).cast("long").alias("doc_id")), "doc_id", "left_semi").select(
+        ids = target.select(F.col(id_col).cast("long").alias("target_id"))
+        _, possible = split_by_bitmap(tokens, "doc_id", ids, "target_id")  # the other texts are not shuffled for it
+        near = possible.join(ids, F.col("doc_id") == F.col("target_id"), "left_semi").select(
             F.lit(-1).cast("long").alias("block"), F.lit(1).alias("model"), "tokens")
         local = local.unionByName(map_arrow(near, _count(size, block_tokens), "cell long, block long, background long, target long"))
     local = stage(local, "local-counts")

@@ -226,7 +226,7 @@ def test_op8(spark, edges):
         x = ids[r.doc_id]
         assert r.n_tokens == len(x)
         assert r.background_loss == pytest.approx(scoring.losses(x, table, 50_257).mean(), rel=1e-4)
-        assert r.target_loss == pytest.approx(np.log(50_257), rel=1e-4)
+        assert r.target_loss == pytest.approx(r.background_loss, rel=1e-9)
     assert scoring.score(edges, edges, path).count() == 8
     assert scoring.score(edges.limit(0), edges, path).count() == 0
 
@@ -243,10 +243,14 @@ def test_op8_counts_every_bigram_exactly(spark):
     def model(rows):
         return Counter(t for x in rows for t in x), Counter(p for x in rows for p in zip(x, x[1:]))
 
-    def loss(x, uni, pairs):
+    def background(x, uni, pairs):
         single = [(uni[t] + 1) / (sum(uni.values()) + 50_257) for t in x]
-        p = single[:1] + [0.6 * pairs[a, b] / uni[a] + 0.4 * s if uni[a] else s for a, b, s in zip(x, x[1:], single[1:])]
-        return -np.mean(np.log(p))
+        return single[:1] + [0.6 * pairs[a, b] / uni[a] + 0.4 * s if uni[a] else s for a, b, s in zip(x, x[1:], single[1:])]
+
+    def adapted(x, uni, pairs, prior):
+        first = (uni[x[0]] + scoring.PRIOR * prior[0]) / (sum(uni.values()) + scoring.PRIOR)
+        return [first] + [(pairs[a, b] + scoring.PRIOR_AFTER * q) / (uni[a] + scoring.PRIOR_AFTER)
+                          for a, b, q in zip(x, x[1:], prior[1:])]
 
     wide, near = model(ids.values()), model([x for d, x in ids.items() if d % 3 == 0])
     small = spark.createDataFrame(docs, "doc_id long, text string")
@@ -255,8 +259,17 @@ def test_op8_counts_every_bigram_exactly(spark):
         got = scoring.score(small, target, path, block_tokens=size).collect()
         assert sorted(r.doc_id for r in got) == sorted(ids)
         for r in [x for x in got if x.doc_id % 4 == 0]:
-            assert r.background_loss == pytest.approx(loss(ids[r.doc_id], *wide), rel=1e-9)
-            assert r.target_loss == pytest.approx(loss(ids[r.doc_id], *near), rel=1e-9)
+            base = background(ids[r.doc_id], *wide)
+            assert r.background_loss == pytest.approx(-np.mean(np.log(base)), rel=1e-9)
+            assert r.target_loss == pytest.approx(-np.mean(np.log(adapted(ids[r.doc_id], *near, base))), rel=1e-9)
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_op8_models_are_matched(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    half = docs.where("doc_id % 2 = 0")  # a target without a leaning, and documents outside it
+    got = scoring.score(docs, half.select("doc_id"), tokenizer_path("byte_bpe_50k.json")).where("doc_id % 2 = 1").collect()
+    assert abs(np.mean([r.difference for r in got])) < 0.15
 
 
 def test_op9(spark, edges):
