@@ -52,9 +52,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     size: words of the text (null: 0). taken: words that the mix takes, all
     rounds counted, at most ceil(cap) times the size. finish: virtual finish
     time of the document in the first round (null where the target is 0).
-    Null sources form one source, last. Documents queue by md5 of their id,
-    so reruns agree; rows with equal ids queue by size. Null ids queue as
-    the empty id. Empty input gives an empty result.
+    Null sources form one source, last. Documents queue by md5 of their id
+    and text (a null id being the empty one), so reruns agree, and rows with
+    null or equal ids spread over the queue like all others. Empty input
+    gives an empty result.
 
     No window holds a whole source: its rows are dealt by hash over buckets
     of about sqrt(rows) rows, summed first and then numbered inside.
@@ -62,7 +63,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = stage(docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")), "sizes").withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+        F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
+        F.md5(F.concat(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")), F.lit(":"),
+                       F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary"))).cast("binary")).alias("h")),
+        "sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = stage(targets(sums, weights, share, cap), "targets").withColumnRenamed("source", "plan_source")
     per = F.greatest(F.lit(256.0), F.sqrt("n"))
@@ -117,7 +121,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5(coalesce(doc_id::VARCHAR, '')) AS h
+         md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS h
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE]

@@ -151,3 +151,12 @@ def test_token_files_spread_null_ids(spark, tmp_path):
     manifest = token_files.write(docs, str(tmp_path), tokenizer_path("byte_bpe_50k.json"))
     rows = [r[0] for r in manifest.groupBy("part").sum("documents").select("sum(documents)").collect()]
     assert sum(rows) == 6000 and max(rows) <= 2 * 6000 / len(rows), rows
+
+
+def test_op3_spreads_null_ids_over_the_queue(spark):
+    rows = [(None if i % 3 else i, f"{i} " + "w " * (i % 40), "a") for i in range(3000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    finish = sorted(r.finish for r in got if r.doc_id is None)
+    # finish times of the rows without id run evenly through the queue
+    middle = finish[len(finish) // 2] / max(r.finish for r in got)
+    assert abs(middle - .5) < .1
