@@ -24,24 +24,66 @@ _MARK = re.compile(r"<<opt>>|<</opt>>|<<var:(\d+)>>")
 #: (label, template) of plain phrases whose places are counted.
 BASE = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
 
-#: (label, template) of license notices.
-TEMPLATES = (
-    ("apache-2", "licensed under the apache license <<opt>>version<</opt>> 2 <<opt>>0<</opt>>"),
-    ("apache-2", "spdx license identifier apache 2 0"),
-    ("mit", "<<opt>>released<</opt>> under the <<opt>>terms of the<</opt>> mit license"),
-    ("mit", "spdx license identifier mit"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this <<var:6>> "
-            "to deal in the <<var:4>> without restriction"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted "
-            "provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or "
-            "without fee is hereby granted"),
-    ("gpl", "gnu <<opt>>lesser<</opt>> <<opt>>affero<</opt>> general public license <<opt>>as published by the free "
-            "software foundation<</opt>> <<opt>>either<</opt>> version <<var:1>>"),
-    ("cc-by-nc", "creative commons attribution noncommercial <<var:3>> license"),
-    ("cc-by", "licensed under <<opt>>a<</opt>> creative commons attribution <<var:2>> <<opt>>international<</opt>> license"),
-    ("all-rights-reserved", "copyright <<opt>>c<</opt>> <<var:8>> all rights reserved"),
+# The wording of public license notices, and of short references to licenses.
+#: (label, template) of whole notices: all of the mandatory wording has to stand there.
+NOTICES = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
+            "documentation files <<opt>>the software<</opt>> to deal in the software without restriction including without "
+            "limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software "
+            "and to permit persons to whom the software is furnished to do so subject to the following conditions the above "
+            "copyright notice and this permission notice <<opt>>including the next paragraph<</opt>> shall be included in all "
+            "copies or substantial portions of the software the software is provided as is without warranty of any kind "
+            "express or implied including but not limited to the warranties of merchantability fitness for a particular "
+            "purpose and noninfringement in no event shall <<var:8>> be liable for any claim damages or other liability "
+            "whether in an action of contract tort or otherwise arising from out of or in connection with the software or the "
+            "use or other dealings in the software"),
+    ("isc", "permission to use copy modify and <<opt>>or<</opt>> distribute this software for any purpose with or without fee "
+            "is hereby granted provided that the above copyright notice and this permission notice appear in all copies the "
+            "software is provided as is and <<var:8>> disclaims all warranties with regard to this software including all "
+            "implied warranties of merchantability and fitness in no event shall <<var:8>> be liable for any special direct "
+            "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in "
+            "an action of contract negligence or other tortious action arising out of or in connection with the use or "
+            "performance of this software"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the "
+            "following conditions are met <<opt>>1<</opt>> redistributions of source code must retain the above copyright "
+            "notice this list of conditions and the following disclaimer <<opt>>2<</opt>> redistributions in binary form must "
+            "reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation "
+            "and or other materials provided with the distribution <<opt>><<opt>>3<</opt>> neither the name of <<var:12>> nor "
+            "the names of its contributors may be used to endorse or promote products derived from this software without "
+            "specific prior written permission<</opt>> this software is provided by <<var:8>> as is and any express or implied "
+            "warranties including but not limited to the implied warranties of merchantability and fitness for a particular "
+            "purpose are disclaimed in no event shall <<var:8>> be liable for any direct indirect incidental special exemplary "
+            "or consequential damages including but not limited to procurement of substitute goods or services loss of use "
+            "data or profits or business interruption however caused and on any theory of liability whether in contract strict "
+            "liability or tort including negligence or otherwise arising in any way out of the use of this software even if "
+            "advised of the possibility of such damage"),
+    ("apache-2", "licensed under the apache license version 2 0 <<opt>>the license<</opt>> you may not use this file except in "
+                 "compliance with the license you may obtain a copy of the license at <<var:8>> unless required by applicable "
+                 "law or agreed to in writing software distributed under the license is distributed on an as is basis without "
+                 "warranties or conditions of any kind either express or implied see the license for the specific language "
+                 "governing permissions and limitations under the license"),
+    ("gpl", "this <<var:4>> is free software you can redistribute it and or modify it under the terms of the gnu "
+            "<<opt>>lesser<</opt>> <<opt>>affero<</opt>> general public license as published by the free software foundation "
+            "either version <<var:2>> of the license or at your option any later version this <<var:4>> is distributed in the "
+            "hope that it will be useful but without any warranty without even the implied warranty of merchantability or "
+            "fitness for a particular purpose see the gnu <<opt>>lesser<</opt>> <<opt>>affero<</opt>> general public license "
+            "for more details"),
+    ("cc-by-nc", "this work is licensed under <<opt>>a<</opt>> creative commons attribution noncommercial <<var:4>> license"),
+    ("cc-by", "this work is licensed under <<opt>>a<</opt>> creative commons attribution <<opt>>4 0<</opt>> "
+              "<<opt>>3 0<</opt>> <<opt>>international<</opt>> <<opt>>unported<</opt>> license"),
 )
+#: (label, template) of short references: they name a license and are not its notice.
+REFERENCES = (
+    ("apache-2-reference", "licensed under the apache license <<opt>>version<</opt>> 2 <<opt>>0<</opt>>"),
+    ("apache-2-reference", "spdx license identifier apache 2 0"),
+    ("mit-reference", "<<opt>>released<</opt>> under the <<opt>>terms of the<</opt>> mit license"),
+    ("mit-reference", "spdx license identifier mit"),
+    ("bsd-reference", "spdx license identifier bsd <<var:1>> clause"),
+    ("gpl-reference", "gnu <<opt>>lesser<</opt>> <<opt>>affero<</opt>> general public license <<opt>>as published by the free "
+                      "software foundation<</opt>> <<opt>>either<</opt>> version <<var:1>>"),
+    ("gpl-reference", "spdx license identifier <<var:1>> gpl"),
+)
+TEMPLATES = NOTICES + REFERENCES
 
 
 def compile_templates(templates) -> tuple[dict, list, dict]:

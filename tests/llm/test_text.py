@@ -207,6 +207,55 @@ def test_template_markup():
     assert not any(licenses.matches(t.encode().split(), machine) for t in no)
 
 
+def _notice(template, fill, options):
+    """A text of the template: optional regions in or out, variable ones filled."""
+    while (m := re.search(r"<<opt>>((?:(?!<<opt>>).)*?)<</opt>>", template)):
+        template = template[:m.start()] + (m[1] if options else "") + template[m.end():]
+    return re.sub(r"<<var:\d+>>", fill, template)
+
+
+def test_op6_takes_whole_notices_only(spark):
+    rows, want = [], []
+    for label, template in licenses.NOTICES:
+        for fill, options in (("X", True), ("", False)):
+            text = _notice(template, fill, options)
+            rows.append(f"Copyright 2020 Someone\n{text.upper()}. And more text")
+            want.append(label)
+            words = text.split()
+            for i in (len(words) // 3, len(words) - 1):  # one mandatory word replaced, or left out
+                if re.search(rf"\b{words[i]}\b", re.sub(r"<<opt>>.*?<</opt>>", "", template)):
+                    rows.append(" ".join([*words[:i], "never", *words[i + 1:]]))
+                    rows.append(" ".join([*words[:i], *words[i + 1:]]))
+                    want += [None, None]
+    rows += ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software to deal in the "
+             "software without restriction, provided that nobody uses it", "SPDX-License-Identifier: MIT", "all rights reserved"]
+    want += [None, None, None]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(docs, base=()).collect()}
+    whole = {label for label, _ in licenses.NOTICES}
+    for i, label in enumerate(want):
+        assert got[i] & whole == ({label} if label else set()), rows[i]
+    assert "mit-reference" in got[len(rows) - 2] and got[len(rows) - 1] == {""}
+
+
+def test_op6_labels_against_regular_expressions(spark):
+    patterns = []
+    for label, template in licenses.TEMPLATES:
+        p = re.sub(r"\s+", " ", re.sub(r"(<<[^>]*>>)", r" \1 ", template)).strip()
+        p = p.replace("<<opt>> ", "(?:").replace(" <</opt>> ", " )?").replace(" <</opt>>", " )?")
+        p = re.sub(r"<<var:(\d+)>> ?", r"(?:\\S+ ){0,\1}", p)
+        patterns.append((label, re.compile("(?:^| )" + (p if p.endswith(("?", "}")) else p + " "))))
+    docs = duckdb.sql(f"select doc_id, text from '{SF}/documents.parquet'").fetchall()
+    got = {r.doc_id: set(r.labels.split(",")) - {""} for r in queries.QUERIES["op6_license_scan"](spark, SF).collect()}
+    word = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    for d, t in docs:
+        low = " ".join(w.decode("utf-8", "replace") for w in word.findall(
+            "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").encode())) + " "
+        want = {label for label, p in patterns if p.search(low)}
+        want |= {label for label, p in licenses.BASE if f" {p} " in " " + low}
+        assert got[d] == want, d
+
+
 def test_op8(spark, edges):
     got = {r.doc_id: r for r in queries.QUERIES["op8_lm_score"](spark, SF).collect()}
     labels = duckdb.sql(f"select doc_id, quality from '{SF}/labels.parquet'").fetchall()
