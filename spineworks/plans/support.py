@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spineworks.functions import avg_half_up, exact_avg, month_last_day, month_start
 from spineworks.operators.shares import group_counts
+from spineworks.operators.spine import month_after
 from spineworks.operators.trend import diff_previous
 from spineworks.plans.params import Params
 from spineworks.sources.calendar import month_spine
@@ -64,8 +65,10 @@ def tickets_at_max_response(t: DataFrame, p: Params, minutes=None) -> DataFrame:
 
 
 def _ticket_months(p: Params):
-    m = month_start("submitted_at")
-    return m, (m >= F.lit(p.ticket_calendar_start)) & (m <= F.lit(p.ticket_calendar_end))
+    # Plain bounds on the timestamp itself, which reach the scan.
+    m, at = month_start("submitted_at"), F.col("submitted_at")
+    last = month_after(p.ticket_calendar_end)
+    return m, (at >= F.lit(p.ticket_calendar_start).cast("timestamp_ntz")) & (at < F.lit(last).cast("timestamp_ntz"))
 
 
 def tickets_per_month(t: DataFrame, p: Params, fill_gaps: bool = False) -> DataFrame:

@@ -7,6 +7,7 @@ import __spark_entry__ as E
 from spineworks.plans.params import FIXTURE_PARAMS
 from spineworks.plans.registry import FINAL_ORDER, QUERIES
 from spineworks.plans.tables import Tables
+from spineworks.operators.spine import month_after
 from spineworks.plans.warehouse import WarehouseTables, materialize
 
 SF = "/root/testdata/sf0.001"
@@ -50,6 +51,9 @@ def test_share_of_total_has_no_global_window(spark):
         assert "Window" not in plan, name
 
 
+TICKET_BOUNDS = tuple(f"{op}(submitted_at,{day}T00:00)" for op, day in (
+    ("GreaterThanOrEqual", FIXTURE_PARAMS.ticket_calendar_start),
+    ("LessThan", month_after(FIXTURE_PARAMS.ticket_calendar_end))))
 DATE_BOUNDS = {  # column bounds that the scan of the written subscriptions must get
     "lost_per_month": ("GreaterThanOrEqual(end_date,1997-01-01)", "LessThan(end_date,1998-01-01)"),
     "lost_rows": ("GreaterThanOrEqual(end_date,1997-01-01)", "LessThan(end_date,1998-01-01)"),
@@ -59,6 +63,8 @@ DATE_BOUNDS = {  # column bounds that the scan of the written subscriptions must
     "active_unbounded_vs_lost": ("LessThan(start_date,1998-01-01)",),
     "accrued_revenue": ("LessThan(start_date,1998-01-01)", "GreaterThanOrEqual(end_date,1997-01-01)"),
     "recurring_rows_no_end_filter": ("LessThan(start_date,1997-02-01)",),
+    "tickets_per_month": TICKET_BOUNDS,
+    "ticket_satisfaction_per_month": TICKET_BOUNDS,
 }
 
 
