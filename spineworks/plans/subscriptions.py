@@ -74,22 +74,38 @@ def lost_rows(sub: DataFrame, p: Params, month=None, subscription_id=None) -> Da
                        days_between(F.col("end_date"), F.col("month_date")).alias("duration_days"))
 
 
+def _active_and_lost(sub: DataFrame, p: Params, member, lo, hi, counted) -> DataFrame:
+    """Both counts of each month in one pass: a row enters its active range and its lost month.
+
+    ``counted`` is what the active counts count. Columns ``_active`` and
+    ``_lost`` hold the rows of each kind, for months with rows of one kind
+    only.
+    """
+    ended, end = in_months("end_date", p.calendar_start, p.calendar_end), month_start(F.col("end_date"))
+    kinds = F.array_compact(F.array(
+        F.when(member, F.struct(lo.alias("lo"), hi.alias("hi"), F.lit(True).alias("active"))),
+        F.when(ended, F.struct(end.alias("lo"), end.alias("hi"), F.lit(False).alias("active")))))
+    rows = sub.where(member | ended).select("subscription_id", "is_trial", F.explode(kinds).alias("k"))
+    active, lost = F.col("k.active"), ~F.col("k.active")
+    return spread(rows, F.col("k.lo"), F.col("k.hi"), p.calendar_start, p.calendar_end, {
+        "active_subscriptions": F.count(F.when(active, counted)),
+        "trial_subscriptions": F.count(F.when(active & _trial(), counted)),
+        "lost_active_subscriptions": F.count(F.when(lost, 1)), "lost_trials": F.count(F.when(lost & _trial(), 1)),
+        "_active": F.count(F.when(active, 1)), "_lost": F.count(F.when(lost, 1))})
+
+
 def active_vs_lost(sub: DataFrame, p: Params, fill_gaps: bool = False) -> DataFrame:
     """Active (end month included) next to lost.
 
     By default only months having both appear (the original inner join);
     ``fill_gaps`` keeps every active month and reports 0 losses where none
-    occurred. Both sides hold at most one row per spine month.
+    occurred. One scan of the subscriptions.
     """
-    active, lost = active_end_month_included(sub, p), lost_per_month(sub, p)
-    if not fill_gaps:
-        return active.join(lost, "month_date").select(
-            "month_date", "active_subscriptions", "trial_subscriptions",
-            "lost_active_subscriptions", "lost_trials")
-    return active.join(lost, "month_date", "left").select(
-        "month_date", "active_subscriptions", "trial_subscriptions",
-        F.coalesce(F.col("lost_active_subscriptions"), F.lit(0)).alias("lost_active_subscriptions"),
-        F.coalesce(F.col("lost_trials"), F.lit(0)).alias("lost_trials"))
+    member = not_ended_before(p.window_start) & started_by(p.calendar_end)
+    m = _active_and_lost(sub, p, member, month_start(F.col("start_date")),
+                         month_start(F.coalesce(F.col("end_date"), F.lit(p.open_end_horizon))), F.lit(1))
+    m = m.where(F.col("_active") > 0)
+    return (m if fill_gaps else m.where(F.col("_lost") > 0)).drop("_active", "_lost")
 
 
 def lost_trend(sub: DataFrame, p: Params) -> DataFrame:
@@ -105,13 +121,10 @@ def lost_trend(sub: DataFrame, p: Params) -> DataFrame:
 
 
 def active_unbounded_vs_lost(sub: DataFrame, p: Params) -> DataFrame:
-    """Earlier report: active counted from the start month with no end bound, next to lost."""
-    act = spread(sub.where(started_by(p.calendar_end)), month_start(F.col("start_date")), None, p.calendar_start, p.calendar_end,
-                 {"active_subscriptions": F.count("subscription_id"),
-                  "trial_subscriptions": F.count(F.when(_trial(), F.col("subscription_id")))})
-    return act.join(lost_per_month(sub, p), "month_date").select(
-        "month_date", "active_subscriptions", "trial_subscriptions",
-        "lost_active_subscriptions", "lost_trials")
+    """Earlier report: active counted from the start month with no end bound, next to lost (one scan)."""
+    m = _active_and_lost(sub, p, started_by(p.calendar_end), month_start(F.col("start_date")),
+                         F.lit(p.calendar_end), F.col("subscription_id"))
+    return m.where("_active > 0 and _lost > 0").drop("_active", "_lost")
 
 
 def active_rows_closed_only(sub: DataFrame, p: Params) -> DataFrame:
