@@ -123,18 +123,21 @@ def in_except(left: DataFrame, key: str, include: DataFrame, include_key: str,
 
 
 def full_outer_skew_safe(big: DataFrame, small: DataFrame, key: str,
-                         small_key: str | None = None) -> DataFrame:
+                         small_key: str | None = None, colocated: bool = False) -> DataFrame:
     """Full outer join where ``big`` may hold very hot keys.
 
     Written as ``big LEFT JOIN small`` (AQE can split a skewed left side)
     plus the ``small`` rows whose key never occurs in ``big`` (anti join
     against big's distinct keys, so no hot key reaches that join). Output
     columns: all of ``big`` then all of ``small``; the two sides must have
-    disjoint column names.
+    disjoint column names. With ``colocated`` (both sides bucketed by the key,
+    which they only are without hot keys) it is one plain join in place.
     """
     if not set(big.columns).isdisjoint(small.columns):
         raise ValueError("full_outer_skew_safe needs disjoint column names")
     sk = small_key or key
+    if colocated:
+        return big.join(small, big[key] == small[sk], "full")
     matched = big.join(small, big[key] == small[sk], "left")
     big_keys = big.select(F.col(key).alias("_bk")).where(F.col("_bk").isNotNull()).distinct()
     only_small = small.join(big_keys, small[sk] == F.col("_bk"), "left_anti")
@@ -153,13 +156,13 @@ def left_join_unique_to_skewed(unique: DataFrame, skewed: DataFrame, key: str,
     then adds the unmatched ``unique`` rows with null right columns, found by
     an anti join against the deduplicated right keys. ``unique`` is often an
     aggregate by the key; a null-safe comparison gives it its own exchange, as
-    splitting needs. With ``colocated`` (both sides bucketed by the key) the
-    plain comparison keeps both in place.
+    splitting needs. With ``colocated`` (both sides bucketed by the key, which
+    they only are without hot keys) it is one plain left join in place.
     """
     right = skewed.select(F.col(skewed_key).alias("_sk"), *skewed_cols)
-    same = F.col(key) == F.col("_sk")
-    if not colocated:
-        same = F.col(key).isNotNull() & F.col(key).eqNullSafe(F.col("_sk"))
+    if colocated:
+        return unique.join(right, F.col(key) == F.col("_sk"), "left").drop("_sk")
+    same = F.col(key).isNotNull() & F.col(key).eqNullSafe(F.col("_sk"))
     inner = unique.join(right, same, "inner").drop("_sk")
     right_keys = skewed.select(F.col(skewed_key).alias("_sk")).where(
         F.col("_sk").isNotNull()).distinct()

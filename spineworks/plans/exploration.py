@@ -167,30 +167,28 @@ def churn_reactivation_map(churn: DataFrame, sub: DataFrame, p: Params, colocate
         F.count(F.when(back, 1)).alias("n_re"), F.count(F.when(~back, 1)).alias("n_ch"))
     named = F.col("account_id").isNotNull()
     re, ch = F.col("n_re") > 0, F.col("n_ch") > 0
-    both = counts.where(named & re & ch).select(
-        F.col("account_id").alias("_account"), "account_id",
-        F.col("n_re").alias("reactivated_times"), F.col("n_ch").alias("churned_times"))
-    matched = left_join_unique_to_skewed(both, sub, "_account", "account_id", ["subscription_id"], colocated)
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
-    one_sided = counts.where(named & ~(re & ch)).select(
-        F.when(re, F.col("account_id")).alias("reactivated_account_id"),
-        F.when(ch, F.col("account_id")).alias("churned_account_id"),
-        F.when(re, F.col("n_re")).alias("reactivated_times"), F.when(ch, F.col("n_ch")).alias("churned_times"))
-    unnamed = counts.where(~named).select(
-        F.col("account_id").alias("reactivated_account_id"), F.col("account_id").alias("churned_account_id"),
-        F.explode(F.array_compact(F.array(
-            F.when(re, F.struct(zero.alias("reactivated_times"), none.alias("churned_times"))),
-            F.when(ch, F.struct(none.alias("reactivated_times"), zero.alias("churned_times")))))).alias("n")).select(
-        "reactivated_account_id", "churned_account_id", "n.*")
-    rest = one_sided.unionByName(unnamed).withColumn(
-        "subscription_id", F.lit(None).cast(sub.schema["subscription_id"].dataType))
+    zero, none, nobody = (F.lit(0).cast("long"), F.lit(None).cast("long"),
+                          F.lit(None).cast(churn.schema["account_id"].dataType))
+
+    def row(re_id, ch_id, n_re, n_ch):
+        return F.struct(re_id.alias("reactivated_account_id"), ch_id.alias("churned_account_id"),
+                        n_re.alias("reactivated_times"), n_ch.alias("churned_times"))
+    kinds = F.when(named, F.array(row(F.when(re, F.col("account_id")), F.when(ch, F.col("account_id")),
+                                      F.when(re, F.col("n_re")), F.when(ch, F.col("n_ch"))))).otherwise(
+        F.array_compact(F.array(F.when(re, row(nobody, nobody, zero, none)), F.when(ch, row(nobody, nobody, none, zero)))))
+    keyed = counts.select("account_id", (named & re & ch).alias("_both"), F.explode(kinds).alias("k")).select(
+        F.col("account_id").alias("_account"), "_both", "k.*")
     names = ["reactivated_account_id", "churned_account_id", "subscription_id", "reactivated_times", "churned_times"]
-    return matched.select(F.col("_account").alias("reactivated_account_id"), F.col("_account").alias("churned_account_id"),
-                          "subscription_id", "reactivated_times", "churned_times").unionByName(rest.select(*names))
+    if colocated:  # one join in place
+        right = sub.select(F.col("account_id").alias("_sk"), "subscription_id")
+        return keyed.join(right, (F.col("_account") == F.col("_sk")) & F.col("_both"), "left").select(*names)
+    matched = left_join_unique_to_skewed(keyed.where("_both"), sub, "_account", "account_id", ["subscription_id"])
+    rest = keyed.where("not _both").withColumn("subscription_id", F.lit(None).cast(sub.schema["subscription_id"].dataType))
+    return matched.select(*names).unionByName(rest.select(*names))
 
 
 def account_sub_attributes(raw_account: DataFrame, sub: DataFrame, p: Params,
-                           account_id=None) -> DataFrame:
+                           account_id=None, colocated: bool = False) -> DataFrame:
     """Account-level vs subscription-level copies of the same attributes, side by side.
 
     Full outer join on account; ``account_id`` restricts it to one account
@@ -208,7 +206,7 @@ def account_sub_attributes(raw_account: DataFrame, sub: DataFrame, p: Params,
         a = a.where(F.col("a_account_id") == F.lit(account_id))
         out = a.join(b, a.a_account_id == b.account_id, "left")
     else:
-        out = full_outer_skew_safe(b, a, "account_id", "a_account_id")
+        out = full_outer_skew_safe(b, a, "account_id", "a_account_id", colocated)
     return out.select("account_id", "subscription_id", "acc_churn", "sub_churn", "acc_trial",
                       "sub_trial", "acc_plan_tier", "sub_plan_tier", "acc_seats", "sub_seats")
 

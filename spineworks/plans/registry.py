@@ -114,7 +114,7 @@ QUERIES.update({
     "churn_reactivation_map": lambda t, p: X.churn_reactivation_map(
         t.churn_event, t.subscription, p, t.colocated),
     "account_sub_attributes": lambda t, p: X.account_sub_attributes(
-        t.raw_account, t.subscription, p),
+        t.raw_account, t.subscription, p, colocated=t.colocated),
     "days_to_start": lambda t, p: X.days_to_start(t.subscription, t.account, p),
     "accounts_without_tickets": lambda t, p: X.accounts_without_tickets(
         t.subscription, t.support_ticket, t.account, p),

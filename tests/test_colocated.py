@@ -57,6 +57,7 @@ def test_no_shuffle_below_the_account_joins(spark, shuffled_joins, even, name):
     plan = _final_plan(QUERIES[name](even, P))
     assert "Join " in plan and "Bucketed: true" in plan
     assert _exchanges_below_joins(plan) == []
+    assert plan.count("FileScan") == 2, plan  # every table once
     bag = lambda df: sorted(map(repr, (tuple(r) for r in df.collect())))
     assert bag(QUERIES[name](even, P)) == bag(QUERIES[name](Tables(spark, SF), P))
 
