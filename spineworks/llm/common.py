@@ -30,11 +30,14 @@ LOWER[0x41:0x5B] += 0x20
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, one machine) a temporary folder
-    is made and remembered in the session.
+    Only where the setting is absent in a local session (tests, one machine)
+    a temporary folder is made and remembered in the session; on a cluster
+    its absence is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir is not set; point it at a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spineworks-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
