@@ -59,11 +59,14 @@ class KeyDictionary:
         New ids follow the content order (nulls first) from the high-water
         mark on: a first load gets the ids of ``quality.surrogate_key``.
         """
-        have = self.blocks().groupBy("digest").agg(F.sum("copies").alias("_have"))
         counted = self._counted(df)
-        missing = (counted.join(have, counted._digest == have.digest, "left")
-                   .withColumn("_have", F.coalesce("_have", F.lit(0).cast("long")))
-                   .withColumn("_new", F.col("_n") - F.col("_have")).where("_new > 0"))
+        if versions.current(self.spark, self.folder) is None:
+            missing = counted.withColumn("_have", F.lit(0).cast("long")).withColumn("_new", F.col("_n"))
+        else:
+            have = self.blocks().groupBy("digest").agg(F.sum("copies").alias("_have"))
+            missing = (counted.join(have, counted._digest == have.digest, "left")
+                       .withColumn("_have", F.coalesce("_have", F.lit(0).cast("long")))
+                       .withColumn("_new", F.col("_n") - F.col("_have")).where("_new > 0"))
         # ranked rows are written so that running sums and totals see the same partitions
         staging = f"{ensure_checkpoint_dir(self.spark)}/new-keys-{uuid.uuid4().hex}"
         n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))

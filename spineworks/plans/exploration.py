@@ -96,7 +96,8 @@ def count_billing_frequency(sub: DataFrame, p: Params) -> DataFrame:
 
 
 def count_priority_escalation(t: DataFrame, p: Params) -> DataFrame:
-    return group_counts(t, "priority", "escalation_flag", name="tickets").orderBy("priority")
+    return group_counts(t, "priority", "escalation_flag", name="tickets").orderBy(
+        F.asc_nulls_last("priority"), F.asc_nulls_last("escalation_flag"))
 
 
 def subs_per_account(sub: DataFrame, p: Params) -> DataFrame:

@@ -54,7 +54,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local"):
+    if sc.master.split("[")[0] != "local":
         raise RuntimeError(
             "spark.checkpoint.dir is not set; point it at a shared folder "
             "before running operators that cut lineage")
