@@ -317,9 +317,12 @@ WITH docs AS (
   SELECT row_number() OVER (ORDER BY doc_id, text) AS doc, doc_id, hex(encode(coalesce(text, ''))) AS hx,
          octet_length(encode(coalesce(text, ''))) AS n
   FROM documents),
+blocks AS (  -- short strings, so that taking a window out of one costs little
+  SELECT doc, n, b, substr(hx, 2 * b + 1, 2 * (512 + 99)) AS hx
+  FROM (SELECT doc, hx, n, unnest(range(0, n - 99, 512)) AS b FROM docs WHERE n >= 100)),
 windows AS (
-  SELECT doc, s, md5(substr(hx, 2 * s + 1, 200)) AS w
-  FROM (SELECT doc, hx, unnest(range(0, n - 99)) AS s FROM docs WHERE n >= 100)),
+  SELECT doc, b + i AS s, md5(substr(hx, 2 * i + 1, 200)) AS w
+  FROM (SELECT doc, b, hx, unnest(range(0, least(512, n - 99 - b))) AS i FROM blocks)),
 again AS (SELECT doc, s FROM windows QUALIFY row_number() OVER (PARTITION BY w ORDER BY doc, s) > 1),
 edges AS (SELECT doc, s, lag(s) OVER (PARTITION BY doc ORDER BY s) AS before FROM again),
 runs AS (SELECT doc, s, count(*) FILTER (WHERE before IS NULL OR s > before + 100) OVER (PARTITION BY doc ORDER BY s) AS run
