@@ -19,7 +19,7 @@ from .common import text_slices
 #: Bytes of the string that an anchor starts with.
 GRAM = 32
 #: Windows handled at once, and entries compared with each other inside a task.
-PIECE, MEET = 1 << 20, 400_000
+PIECE, MEET = 1 << 20, 150_000
 _PLACE = np.uint64((1 << 23) - 1)
 
 

@@ -21,8 +21,8 @@ import numpy as np
 
 from .common import text_slices, word_spans
 
-#: Encoded pieces kept by one Python worker (about 40 bytes each); the cache starts anew when full.
-CACHE_PIECES = 1_500_000
+#: Encoded pieces kept by one Python worker (about 30 bytes each); the cache starts anew when full.
+CACHE_PIECES = 500_000
 #: Pieces encoded in one call, and bytes of the longest piece that is kept.
 CALL_PIECES, LONG = 512, 64
 
@@ -96,7 +96,8 @@ class _Cache:
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint16)])
         self.pool[self.used:self.used + len(ids)] = ids
         order = np.argsort(one)
-        new = [x[order] for x in (one, two, self.used + np.cumsum(count) - count, count)]
+        place = (self.used + np.cumsum(count) - count).astype(np.int32)
+        new = [x[order] for x in (one, two, place, count.astype(np.uint8))]  # a kept piece has 64 ids at most
         self.used += len(ids)
         while self.runs and len(self.runs[-1][0]) < 2 * len(new[0]):
             new = [np.concatenate(x) for x in zip(self.runs.pop(), new)]
