@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_arrow
-from .tokens import encoded_rows
+from .tokens import CACHE_PIECES, encoded_rows
 
 #: Context sizes, ascending; the last is the window of long documents.
 TIERS = (256, 512, 1024, 2048)
@@ -127,7 +127,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
-         tiers: Sequence[int] = TIERS, step_tokens: int = STEP_TOKENS) -> DataFrame:
+         tiers: Sequence[int] = TIERS, step_tokens: int = STEP_TOKENS, cache_pieces: int = CACHE_PIECES) -> DataFrame:
     """One row for each piece: where it lies in its document and in its sequence.
 
     Columns as in ``SCHEMA``. Every id, the end id included, lies in exactly
@@ -136,6 +136,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     Sequence and step-group ids are unique over the table and the same in
     every run over the same input splits. Each task packs its own documents,
     so nothing is shuffled and no group of equal rows meets in one task.
+    ``cache_pieces`` bounds the encoded pieces that a worker keeps.
     Empty input gives an empty result.
     """
     if any(t & (t - 1) or t < 1 for t in tiers):
@@ -144,7 +145,7 @@ def pack(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         from pyspark import TaskContext
         packer = Packer(tiers, step_tokens, TaskContext.get().partitionId() << 32)
-        for ids, tokens in encoded_rows(batches, vocabulary, end_id):
+        for ids, tokens in encoded_rows(batches, vocabulary, end_id, cache_pieces):
             for doc_id, t in zip(ids.to_pylist(), tokens):
                 packer.add(doc_id, t)
                 if packer.pending >= ROUND_TOKENS:

@@ -22,7 +22,7 @@ import numpy as np
 from .common import text_slices, word_spans
 
 #: Encoded pieces kept by one Python worker (about 30 bytes each); the cache starts anew when full.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 1_500_000
 #: Pieces encoded in one call, and bytes of the longest piece that is kept.
 CALL_PIECES, LONG = 512, 64
 
@@ -109,8 +109,9 @@ class _Cache:
 class Encoder:
     """uint16 token ids of texts given as bytes; one instance for each vocabulary and worker."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer
+        self.cache_pieces = cache_pieces
         self.library = Tokenizer.from_file(path)
         size = self.library.get_vocab_size(with_added_tokens=True)
         if size > 1 << 16:
@@ -170,7 +171,7 @@ class Encoder:
         if not len(begin):
             return np.zeros(0, np.uint16), np.zeros(len(offsets) - 1, np.int64)
         raw, size = data.tobytes(), end - begin
-        if len(self.cache) > CACHE_PIECES:
+        if len(self.cache) > self.cache_pieces:
             self.cache = _Cache()
         long = np.flatnonzero(size > LONG)
         short = np.flatnonzero(size <= LONG)
@@ -216,9 +217,10 @@ class Encoder:
                 for t, w in zip(texts, whole)]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, cache_pieces: int = CACHE_PIECES) -> Encoder:
     if path not in _encoders:
-        _encoders[path] = Encoder(path)
+        _encoders[path] = Encoder(path, cache_pieces)
+    _encoders[path].cache_pieces = cache_pieces
     return _encoders[path]
 
 
@@ -227,9 +229,9 @@ def row_texts(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
     return [raw[i:j] for i, j in zip(o, o[1:])]
 
 
-def encoded_rows(batches, path: str, end_id: int) -> Iterator[tuple[list, list[bytes]]]:
+def encoded_rows(batches, path: str, end_id: int, cache_pieces: int = CACHE_PIECES) -> Iterator[tuple[list, list[bytes]]]:
     """(ids column, [uint16 ids with the end id]) for each slice of batches (doc_id, text)."""
-    enc, end = encoder(path), np.array([end_id], "<u2").tobytes()
+    enc, end = encoder(path, cache_pieces), np.array([end_id], "<u2").tobytes()
     for batch in batches:
         for rows, data, offsets in text_slices(batch, "text"):
             yield rows.column(0), [ids + end for ids in enc.encode(row_texts(data, offsets))]
