@@ -41,8 +41,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=1)
+    """Pieces of token sequences; a small cache, since the workers also hold what the stages before left them."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), end_id=1, cache_pieces=300_000)
 
 
 STAGES = [("quality classifier", quality_classifier), ("SimHash near-dedup", near_dedup),
